@@ -191,3 +191,27 @@ def blobs(table: pa.Table, kind: int | None = None):
     """Rows of a blob table as tuples (bucket, part, n, blob), in order of bucket and part."""
     rows = zip(*(table[c].to_pylist() for c in ("bucket", "part", "kind", "n", "blob")), strict=True)
     return sorted((b, p, n, raw) for b, p, k, n, raw in rows if kind is None or k == kind)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder so that lineage ends here.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set (as in tests on one machine) a
+    folder under the working directory's warehouse is taken.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
+def slices(batch, text: str = "text"):
+    """Tables of consecutive rows of a record batch with about PART_BYTES of text each, or one row."""
+    table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(table[text]), 0).to_numpy().astype(np.int64))
+    at, done = 0, 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, done + PART_BYTES, "right")))
+        yield table.slice(at, end - at)
+        at, done = end, sizes[end - 1]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lm_scoring import lm_score
 from .substring_dedup import substring_dedup
 
 
@@ -19,8 +20,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _bucket(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_read(spark, sf_dir, "documents"), _bucket(7) != 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup,)}
+    return {f.__name__: f for f in (op4_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
