@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .lm_scoring import lm_score
 from .substring_dedup import substring_dedup
 
@@ -20,6 +21,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def _bucket(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
@@ -29,7 +34,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op4_substring_dedup, op7_jaccard_join, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
