@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .language_id import language_id
 from .lm_scoring import lm_score
+from .quality_classifier import quality_score
 from .substring_dedup import substring_dedup
 
 
@@ -29,12 +31,20 @@ def _bucket(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _bucket(3) != 1)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_read(spark, sf_dir, "documents"), _bucket(4) != 2)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"), _bucket(7) != 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op7_jaccard_join, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_substring_dedup, op5_language_id, op7_jaccard_join, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
