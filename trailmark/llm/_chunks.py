@@ -206,12 +206,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch, text: str = "text"):
-    """Tables of consecutive rows of a record batch with about PART_BYTES of text each, or one row."""
+def slices(batch, text: str = "text", limit: int = 0):
+    """Tables of consecutive rows of a record batch with about PART_BYTES (or limit) of text each, or one row."""
+    limit = limit or PART_BYTES
     table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
     sizes = np.cumsum(pc.fill_null(pc.binary_length(table[text]), 0).to_numpy().astype(np.int64))
     at, done = 0, 0
     while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(sizes, done + PART_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, done + limit, "right")))
         yield table.slice(at, end - at)
         at, done = end, sizes[end - 1]

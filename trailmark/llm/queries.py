@@ -11,6 +11,7 @@ from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .lm_scoring import lm_score
 from .quality_classifier import quality_score
+from .sentencepiece import Pieces, decode, encode
 from .substring_dedup import substring_dedup
 
 
@@ -39,12 +40,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"), _bucket(4) != 2)
 
 
+#: The model file that op6 and the pipeline encode with; a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = Pieces(MODEL_FILE)
+    back = decode(encode(_read(spark, sf_dir, "documents"), pieces, keep=("text",)), pieces, out_col="decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "ids"), 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"), _bucket(7) != 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_substring_dedup, op5_language_id, op7_jaccard_join, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_substring_dedup, op5_language_id, op6_sentencepiece, op7_jaccard_join, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
