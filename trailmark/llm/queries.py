@@ -12,7 +12,10 @@ from .language_id import language_id
 from .lm_scoring import lm_score
 from .quality_classifier import quality_score
 from .sentencepiece import Pieces, decode, encode
+from .source_mixing import mix
 from .substring_dedup import substring_dedup
+from .url_filter import url_filter
+from .vector_search import exact_top_k, permutation_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,12 +53,44 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "ids"), 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"), repeat_limit=2.0)
+
+
+#: The rules that op3 is asked for.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op9_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_search(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"), _bucket(7) != 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_substring_dedup, op5_language_id, op6_sentencepiece, op7_jaccard_join, op10_lm_scoring)}
+    found = (
+        op1_quality_classifier,
+        op2_source_mixing,
+        op3_url_filter,
+        op4_substring_dedup,
+        op5_language_id,
+        op6_sentencepiece,
+        op7_jaccard_join,
+        op8_exact_top_k,
+        op9_permutation_search,
+        op10_lm_scoring,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
