@@ -11,7 +11,7 @@ from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .lm_scoring import lm_score
 from .quality_classifier import quality_score
-from .sentencepiece import Pieces, decode, encode
+from .sentencepiece import encode
 from .source_mixing import mix
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
@@ -48,9 +48,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = Pieces(MODEL_FILE)
-    back = decode(encode(_read(spark, sf_dir, "documents"), pieces, keep=("text",)), pieces, out_col="decoded")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "ids"), 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    out = encode(_read(spark, sf_dir, "documents"), MODEL_FILE, check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "ids"), 256).alias("ids_sha256"), "round_trip")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

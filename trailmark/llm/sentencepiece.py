@@ -25,6 +25,8 @@ itself decodes to spaces there; repeated rows are encoded each; null ids pass th
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,11 +38,11 @@ from . import _chunks as C
 
 MARK = "▁"
 #: Text bytes of a chunk: few enough for a worker, enough that most units repeat.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Most pieces that are broadcast (with at most 64 characters each, 32 MB); larger tables are joined by shuffle.
 BROADCAST_PIECES = 250_000
-#: Units up to this many characters keep their boundaries in one long.
-LONG_BITS = 62
+#: Units up to this many characters are folded; their boundaries fit the bits of one long.
+LONGEST_UNIT = 62
 
 
 class Pieces:
@@ -70,6 +72,7 @@ class Pieces:
         self.rows = [(p.piece, i, float(p.score)) for i, p in enumerate(m.pieces) if p.type == 1]
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.bytes = [i for i, p in enumerate(m.pieces) if p.type == 6]
+        self.ranked = sorted(self.rows, key=lambda p: -p[2])
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.spelling = [bytes([self.bytes.index(i)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode() for i, p in enumerate(m.pieces)]
 
@@ -92,82 +95,147 @@ _tables: dict[int, tuple] = {}
 class Units:
     """Units of many texts: code point ranges, their hashes, and which are single unknown characters."""
 
-    def __init__(self, texts: list[str | None], pieces: Pieces, key: int):
+    def __init__(self, texts: list[str | None], pieces: Pieces, key: int, bits: int):
         if key not in _tables:
             _tables[key] = pieces.join_table()
-        if not _points:
-            _points.append(C.mix(np.arange(1, 0x110001, dtype=np.uint64)))
         place, spans = _tables[key]
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        self.x = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        self.marked = "".join(marked)
+        self.x = np.frombuffer(self.marked.encode("utf-32-le"), np.uint32)
         self.offs = np.concatenate(([0], np.cumsum([len(t) for t in marked], dtype=np.int64)))
-        k = place[self.x]
-        begin = np.ones(len(k), bool)
-        begin[1:] = ~spans[k[:-1], k[1:]]
+        # by blocks: index arrays take eight bytes a character
+        k, begin = np.empty(len(self.x), np.uint16), np.ones(len(self.x), bool)
+        for at in range(0, len(k), C.BLOCK):
+            k[at : at + C.BLOCK] = place[self.x[at : at + C.BLOCK]]
+        for at in range(1, len(k), C.BLOCK):
+            begin[at : at + C.BLOCK] = ~spans[k[at - 1 : min(at + C.BLOCK, len(k)) - 1], k[at : at + C.BLOCK]]
         begin[self.offs[:-1][self.offs[:-1] < len(k)]] = True
         self.starts = np.flatnonzero(begin)
         self.ends = np.append(self.starts[1:], len(k))[: len(self.starts)]
         self.first = np.searchsorted(self.starts, self.offs)
         self.unknown = k[self.starts] == 0
-        h = C.range_hashes(self.x, self.starts, self.ends, _points[0])
-        self.hash, self.index, self.back = np.unique(h, return_index=True, return_inverse=True)
-        self.known = ~self.unknown[self.index]  # of the distinct units
-
-    def text(self, i: int) -> bytes:
-        return self.x[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le").encode()
+        h = C.range_hashes(self.x, self.starts, self.ends, _code_points())
+        order = np.argsort(h)
+        run = C.runs(h[order])
+        index = order[run]
+        # distinct units by bucket, then by their first characters, so that their texts compress
+        bucket = (h[index] >> np.uint64(64 - bits)).astype(np.int64)
+        x = np.append(self.x, np.zeros(4, np.uint32)).astype(np.uint64)
+        size = (self.ends - self.starts)[index]
+        head = np.zeros(len(index), np.uint64)
+        for k in range(4):
+            head = head << np.uint64(16) | np.where(size > k, x[self.starts[index] + k] & np.uint64(0xFFFF), 0).astype(np.uint64)
+        by = np.lexsort((head, bucket))
+        self.index, place = index[by], np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.edges = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
+        self.back = np.empty(len(h), np.int64)
+        self.back[order] = place[C.run_ids(run, len(h))]
+        # of the distinct units: whether the lattice gives the ids
+        self.known = ~self.unknown[self.index] & (self.ends - self.starts <= LONGEST_UNIT)[self.index]
+
+    def texts(self, at: np.ndarray) -> list[str]:
+        """The distinct units at some places."""
+        at = self.index[at]
+        return [self.marked[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(h, w, edges) with an edge (rank, i, l, id, score, from, span) for each piece found in the unit w."""
+    """(h, size, edges): for each unit w its length and an edge (rank, i, l, ...) for each piece in it, by rank and place.
+
+    ``ends`` and ``span`` are the bits of its two ends and of all its boundaries.  The words lie in partitions by h, so
+    the grouping needs no further exchange.
+    """
     spark = words.sparkSession
-    order = {id_: r for r, (_, id_, _) in enumerate(sorted(pieces.rows, key=lambda p: -p[2]))}
-    table = spark.createDataFrame([(p, id_, s, order[id_]) for p, id_, s in pieces.rows], "s string, id int, score double, rank int")
-    if len(pieces.rows) <= BROADCAST_PIECES:
+    table = spark.createDataFrame([(p, r, s) for r, (p, _, s) in enumerate(pieces.ranked)], "s string, rank long, score double")
+    if len(pieces.ranked) <= BROADCAST_PIECES:
         table = F.broadcast(table)
-    cuts = f"flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, least({pieces.longest}, length(w) - i + 1)), l -> struct(i - 1 AS i, l AS l, substring(w, i, l) AS s))))"
-    found = words.select("h", "w", F.explode(F.expr(cuts)).alias("c")).select("h", "w", "c.i", "c.l", "c.s").join(table, "s")
-    bits = f"length(w) <= {LONG_BITS}"
-    edge = F.expr(f"struct(rank, i, l, id, score, IF({bits}, shiftleft(1L, i) | shiftleft(1L, i + l), 0L) AS ends, IF({bits}, shiftleft(shiftleft(1L, l + 1) - 1L, i), 0L) AS span)")
-    return found.groupBy("h").agg(F.any_value("w").alias("w"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    # two plain explodes run as generated code; one over an array of structs would be interpreted
+    found = words.select("h", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
+    found = found.select("h", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
+    found = found.select("h", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
+    edge = F.expr("struct(CAST(rank AS INT) AS rank, i, l, score, shiftleft(1L, i) | shiftleft(1L, i + l) AS ends, shiftleft(shiftleft(1L, l + 1) - 1L, i) AS span)")
+    grouped = found.groupBy("h").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.select("h", F.length("w").alias("size"), "edges")
 
 
 def _merged(lattice: DataFrame) -> DataFrame:
-    """BPE: ids of each unit, edges applied as merges by rank."""
-    # boundaries as bits of a long; units too long for that keep them in an array
+    """BPE: ranks of the pieces of each unit; the state of the fold holds the boundaries as bits of a long.
+
+    The edges are bound to lambda variables: a column would be computed anew at every use inside a lambda."""
     fits = "(state & e.ends) = e.ends AND bit_count(state & e.span) = 3"
-    short = f"""aggregate(sequence(1, length(w)), shiftleft(1L, length(w) + 1) - 1L, (state, n) -> coalesce(
-        get(transform(slice(filter(edges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state))"""
-    fits = "array_contains(state, e.i) AND array_contains(state, e.i + e.l) AND size(filter(state, b -> b > e.i AND b < e.i + e.l)) = 1"
-    long = f"""aggregate(sequence(1, length(w)), sequence(0, length(w)), (state, n) -> coalesce(
-        get(transform(slice(filter(edges, e -> {fits}), 1, 1), e -> filter(state, b -> NOT (b > e.i AND b < e.i + e.l))), 0), state))"""
-    ids = lambda of: f"transform(array_sort(transform({of}, e -> struct(e.i, e.id))), p -> p.id)"
-    is_short = F.length("w") <= LONG_BITS
-    one = lattice.filter(is_short).withColumn("state", F.expr(short)).select("h", F.expr(ids("filter(edges, e -> (state & e.span) = e.ends)")).alias("ids"))
-    two = lattice.filter(~is_short).withColumn("state", F.expr(long))
-    whole = "filter(edges, e -> array_contains(state, e.i) AND array_contains(state, e.i + e.l) AND size(filter(state, b -> b > e.i AND b < e.i + e.l)) = 0)"
-    return one.unionByName(two.select("h", F.expr(ids(whole)).alias("ids")))
+    fold = f"""get(transform(array(edges), lattice -> get(transform(array(filter(lattice, e -> e.l > 1)), merges -> aggregate(sequence(1, size - 1), shiftleft(1L, size + 1) - 1L,
+        (state, n) -> coalesce(get(transform(slice(filter(merges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state),
+        state -> transform(sort_array(transform(filter(lattice, e -> (state & e.span) = e.ends), e -> struct(e.i, e.rank))), p -> p.rank))), 0)), 0)"""
+    first = "array(edges[0].rank)"
+    return lattice.select("h", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
 
 
 def _viterbi(lattice: DataFrame) -> DataFrame:
-    """Unigram: ids of each unit along the best path; ties keep the edge that starts first."""
-    forward = """aggregate(array_sort(transform(edges, e -> struct(e.i + e.l AS j, e.i AS i, e.id AS id, e.score AS score))),
-        transform(sequence(0, length(w)), k -> struct(IF(k = 0, 0D, CAST(NULL AS DOUBLE)) AS score, -1 AS back, -1 AS id)),
+    """Unigram: ranks of the pieces along each unit's best path; ties keep the edge that starts first."""
+    back = """aggregate(sequence(1, size), struct(size AS at, CAST(array() AS array<int>) AS ranks),
+        (s, n) -> IF(s.at <= 0, s, struct(best[s.at].back AS at, concat(array(best[s.at].rank), s.ranks) AS ranks)), s -> s.ranks)"""
+    forward = f"""aggregate(sort_array(transform(edges, e -> struct(e.i + e.l AS j, e.i AS i, e.rank AS rank, e.score AS score))),
+        transform(sequence(0, size), k -> struct(IF(k = 0, 0D, CAST(NULL AS DOUBLE)) AS score, -1 AS back, -1 AS rank)),
         (best, e) -> IF(best[e.i].score IS NULL OR best[e.j].score >= best[e.i].score + e.score, best,
-            transform(best, (b, k) -> IF(k = e.j, struct(best[e.i].score + e.score AS score, e.i AS back, e.id AS id), b))))"""
-    back = """aggregate(sequence(1, length(w)), struct(length(w) AS at, CAST(array() AS array<int>) AS ids),
-        (s, n) -> IF(s.at <= 0, s, struct(best[s.at].back AS at, concat(array(best[s.at].id), s.ids) AS ids))).ids"""
-    return lattice.withColumn("best", F.expr(forward)).select("h", F.expr(back).alias("ids"))
-
-
-def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, ids (array of int), then the columns in ``keep``."""
+            transform(best, (b, k) -> IF(k = e.j, struct(best[e.i].score + e.score AS score, e.i AS back, e.rank AS rank), b))),
+        best -> {back})"""
+    return lattice.select("h", F.expr(forward).alias("ranks"))
+
+
+def _long_unit(unit: str, p: Pieces) -> np.ndarray:
+    """Ids of a unit too long for the fold, whose cost grows with the square of the length, by the same rule."""
+    ids = {piece: i for piece, i, _ in p.ranked}
+    if p.unigram:
+        scores = {piece: s for piece, _, s in p.ranked}
+        best: list[tuple] = [(0.0, -1)] + [(-np.inf, -1)] * len(unit)
+        for j in range(1, len(unit) + 1):
+            for i in range(max(0, j - p.longest), j):
+                s = best[i][0] + scores.get(unit[i:j], -np.inf)
+                if s > best[j][0]:
+                    best[j] = (s, i)
+        out, j = [], len(unit)
+        while j > 0:
+            out.append(ids[unit[best[j][1] : j]])
+            j = best[j][1]
+        return np.array(out[::-1], np.int32)
+    rank = {piece: r for r, (piece, _, _) in enumerate(p.ranked)}
+    ends, back = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))  # of the piece that begins here
+    heap: list[tuple] = []
+
+    def offer(i: int) -> None:
+        j = ends[i] if i >= 0 else len(unit)
+        if j < len(unit) and (r := rank.get(unit[i : ends[j]])) is not None:
+            heapq.heappush(heap, (r, i, j, ends[j]))
+
+    for i in range(len(unit)):
+        offer(i)
+    while heap:
+        _, i, j, k = heapq.heappop(heap)
+        if ends[i] == j and ends[j] == k:
+            ends[i], ends[j] = k, -1
+            if k < len(unit):
+                back[k] = i
+            offer(i)
+            offer(back[i])
+    out, i = [], 0
+    while i < len(unit):
+        out.append(ids[unit[i : ends[i]]])
+        i = ends[i]
+    return np.array(out, np.int32)
+
+
+def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
+    """One row per input row: doc_id, ids (array of int), with ``check`` round_trip (whether the ids decode to the text),
+    then the columns in ``keep``."""
     pieces = model if isinstance(model, Pieces) else Pieces(model)
     spark = docs.sparkSession
     rows, size = C.corpus_size(docs, text_col)
     bits = C.bucket_bits(size // 40)
     shared = spark.sparkContext.broadcast(pieces)
     key = xxhash.xxh3_64_intdigest(repr(pieces.rows).encode())
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(c) for c in keep]).alias("_keep")] if keep else []))
+    more = [c for c in keep if c != text_col]  # the text itself is packed once
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(c) for c in more]).alias("_keep")] if more else []))
 
     def chunks(batches):
         for batch in batches:
@@ -189,48 +257,49 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
 
     def ask(batches):
         for chunk, t in chunks(batches):
-            u = Units(t["_text"].to_pylist(), shared.value, key)
-            edges = C.bucket_edges(u.hash, bits)
+            u = Units(t["_text"].to_pylist(), shared.value, key, bits)
             found = []
-            for b in np.flatnonzero(np.diff(edges)):
-                at = np.arange(edges[b], edges[b + 1])[u.known[edges[b] : edges[b + 1]]]
-                words = [u.text(i) for i in u.index[at]]
-                lens = np.array([len(w) for w in words], np.uint32)
-                found.append((int(b), chunk, len(at), u.hash[at].tobytes(), _pack(lens.tobytes() + b"".join(words))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 5, ASK, strict=True)], schema=ASK)
+            for b in np.flatnonzero(np.diff(u.edges)):
+                at = np.arange(u.edges[b], u.edges[b + 1])[u.known[u.edges[b] : u.edges[b + 1]]]
+                lens = (u.ends - u.starts)[u.index[at]].astype(np.uint32)
+                found.append((int(b), chunk, len(at), _pack(lens.tobytes() + "".join(u.texts(at)).encode())))
+            yield from _rows(found).to_batches()
+
+    def asked_units(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, str]:
+        """(hashes, ends, joined text) of the units that a chunk asks for in one bucket."""
+        raw = _unpack(body)
+        end = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)
+        text = raw[4 * n :].decode()
+        begin = np.concatenate((np.zeros(1, np.int64), end[:-1])) if n else end
+        return C.range_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), begin, end, _code_points()), end, text
 
     def distinct(table: pa.Table) -> pa.Table:
-        h, words = [], []
-        for n, keys, raw in zip(table["n"].to_pylist(), table["keys"].to_pylist(), table["body"].to_pylist(), strict=True):
-            raw = _unpack(raw)
-            end = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64) + 4 * n
-            h.append(np.frombuffer(keys, np.int64))
-            words.append((end, raw))
-        all_h = np.concatenate(h)
-        _, first = np.unique(all_h, return_index=True)
-        at = np.cumsum([0, *map(len, h)])
-        of = np.searchsorted(at, first, "right") - 1
-        out = []
-        for i, f in zip(of, first - at[of], strict=True):
-            end, raw = words[i]
-            out.append(raw[end[f - 1] if f else 4 * len(end) : end[f]])
-        return pa.table({"h": pa.array(all_h[first]), "w": pa.array(out, pa.binary()).cast(pa.string())})
+        sent = [asked_units(n, body) for n, body in zip(table["n"].to_pylist(), table["body"].to_pylist(), strict=True)]
+        h = np.concatenate([x[0] for x in sent])
+        order = np.argsort(h)
+        first = np.sort(order[C.runs(h[order])])
+        from_ = np.cumsum([0, *(len(x[0]) for x in sent)])
+        words = []
+        for (_, end, text), lo, hi in zip(sent, from_[:-1], from_[1:], strict=True):
+            at = first[np.searchsorted(first, lo) : np.searchsorted(first, hi)] - lo
+            words += [text[a:b] for a, b in zip(np.where(at > 0, end[at - 1], 0).tolist(), end[at].tolist(), strict=True)]
+        return pa.table({"h": pa.array(h[first].view(np.int64)), "w": pa.array(words, pa.string())})
 
     def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right["h"].to_numpy()
-        order = np.argsort(h.view(np.uint64))
-        ids = right["ids"].combine_chunks()
-        flat, offs = np.asarray(ids.flatten(), np.int32), np.asarray(ids.offsets, np.int64)
+        h = right["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h = h[order]
+        ranks = right["ranks"].combine_chunks()
+        by_rank = np.array([i for _, i, _ in shared.value.ranked], np.int32)
+        flat, offs = by_rank[np.asarray(ranks.flatten(), np.int64)], np.asarray(ranks.offsets, np.int64)
         offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
-        sorted_h = h.view(np.uint64)[order]
         found = []
-        for chunk, n, keys in zip(*(left[c].to_pylist() for c in ("chunk", "n", "keys")), strict=True):
-            k = np.frombuffer(keys, np.uint64)
-            at = order[np.searchsorted(sorted_h, k)] if n else np.zeros(0, np.int64)
-            count = (offs[at + 1] - offs[at]).astype(np.uint32)
-            body = flat[_ragged(offs[at], count)]
-            found.append((key[0].as_py(), chunk, n, b"", _pack(count.tobytes() + body.astype(np.int32).tobytes())))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 5, ASK, strict=True)], schema=ASK)
+        for chunk, n, body in zip(*(left[c].to_pylist() for c in ("chunk", "n", "body")), strict=True):
+            at = order[np.searchsorted(h, asked_units(n, body)[0])] if n else np.zeros(0, np.int64)
+            count = offs[at + 1] - offs[at] if n else at
+            ids = flat[_ragged(offs[at], count)].astype(np.int32)
+            found.append((key[0].as_py(), chunk, n, _pack(count.astype(np.uint16).tobytes() + ids.tobytes())))
+        return _rows(found)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         p = shared.value
@@ -238,26 +307,26 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
         out = []
         for raw in left["rows"].to_pylist():
             t = pa.ipc.open_stream(raw).read_all()
-            u = Units(t["_text"].to_pylist(), p, key)
-            count, flat = np.zeros(len(u.hash), np.int64), []
-            edges = C.bucket_edges(u.hash, bits)
-            spelt = {i: _spell(u.text(u.index[i]), p) for i in np.flatnonzero(~u.known)}
-            for b in np.flatnonzero(np.diff(edges)):
-                at = np.arange(edges[b], edges[b + 1])
+            u = Units(t["_text"].to_pylist(), p, key, bits)
+            count, flat = np.zeros(len(u.index), np.int64), []
+            odd = np.flatnonzero(~u.known)
+            own_ids = {i: _spell(w, p) if u.unknown[u.index[i]] else _long_unit(w, p) for i, w in zip(odd, u.texts(odd), strict=True)}
+            for b in np.flatnonzero(np.diff(u.edges)):
+                at = np.arange(u.edges[b], u.edges[b + 1])
                 n, body = answers[int(b)]
                 body = _unpack(body)
                 if n != int(u.known[at].sum()):
                     raise RuntimeError("the rows of docs came in another order the second time; write them to a table first")
-                some = np.frombuffer(body, np.uint32, n).astype(np.int64)
-                ids = np.frombuffer(body, np.int32, int(some.sum()), 4 * n)
+                some = np.frombuffer(body, np.uint16, n).astype(np.int64)
+                ids = np.frombuffer(body[2 * n :], np.int32)
                 count[at[u.known[at]]] = some
                 odd = at[~u.known[at]]
                 if len(odd):
-                    count[odd] = [len(spelt[i]) for i in odd]
+                    count[odd] = [len(own_ids[i]) for i in odd]
                     mine = np.empty(int(count[at].sum()), np.int32)
                     own = np.repeat(u.known[at], count[at])
                     mine[own] = ids
-                    mine[~own] = np.concatenate([spelt[i] for i in odd])
+                    mine[~own] = np.concatenate([own_ids[i] for i in odd])
                     ids = mine
                 flat.append(ids)
             flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
@@ -265,28 +334,43 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
             ids = flat[_ragged(begin[u.back], count[u.back])]
             ends = np.concatenate(([0], np.cumsum(count[u.back])))[u.first]
             cols = [t["_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
-            out.append(pa.Table.from_arrays(cols + ([t["_keep"].combine_chunks()] if keep else []), names=["doc_id", "ids", *(["_keep"] if keep else [])]))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), **({"_keep": pa.array([], pa.null())} if keep else {})})
+            if check:
+                texts = t["_text"].to_pylist()
+                cols.append(pa.array([(a or "") == b for a, b in zip(texts, spelt(ids, ends, p.spelling), strict=True)], pa.bool_()))
+            names = [*(["_text"] if text_col in keep else []), *(["_keep"] if more else [])]
+            out.append(pa.Table.from_arrays(cols + [t[c].combine_chunks() for c in names], names=["doc_id", "ids", *(["round_trip"] if check else []), *names]))
+        if not out:
+            raise RuntimeError("the rows of docs came in another order the second time; write them to a table first")
+        return pa.concat_tables(out)
 
     asked = texts.select("_id", "_text").mapInArrow(ask, ASK_DDL)
     words = asked.groupBy("bucket").applyInArrow(distinct, "h long, w string")
-    words = words.repartition(max(8, rows_of(size) // 200_000), "h")
+    # few enough words in a partition that their edges are grouped in memory
+    words = words.repartition(max(8, size // 200 // 30_000), "h")
     lattice = _edges(words, pieces)
     known = (_viterbi if pieces.unigram else _merged)(lattice).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ASK_DDL)
-    kept = f", _keep {texts.schema['_keep'].dataType.simpleString()}" if keep else ""
+    kept = ", round_trip boolean" if check else ""
+    kept += ", _text string" if text_col in keep else ""
+    kept += f", _keep {texts.schema['_keep'].dataType.simpleString()}" if more else ""
     packed = texts.mapInArrow(pack, "chunk long, rows binary")
     out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, ids array<int>{kept}")
-    return out.select("doc_id", "ids", *[F.col("_keep")[c].alias(c) for c in keep])
+    return out.select("doc_id", "ids", *(["round_trip"] if check else []), *[F.col("_text").alias(c) if c == text_col else F.col("_keep")[c].alias(c) for c in keep])
+
+
+ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+ASK_DDL = "bucket int, chunk long, n int, body binary"
 
 
-def rows_of(size: int) -> int:
-    """Distinct units to expect of so many text bytes, roughly; it only sets how many tasks share them."""
-    return size // 200
+def _rows(found: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 4, ASK, strict=True)], schema=ASK)
 
 
-ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("body", pa.binary())])
-ASK_DDL = "bucket int, chunk long, n int, keys binary, body binary"
+def _code_points() -> np.ndarray:
+    """A hash for each code point."""
+    if not _points:
+        _points.append(C.mix(np.arange(1, 0x110001, dtype=np.uint64)))
+    return _points[0]
 
 
 def _pack(raw: bytes) -> bytes:
@@ -305,8 +389,27 @@ def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def _spell(char: bytes, p: Pieces) -> np.ndarray:
-    return np.array([p.bytes[b] for b in char] if p.bytes else [p.unknown], np.int32)
+def _spell(char: str, p: Pieces) -> np.ndarray:
+    return np.array([p.bytes[b] for b in char.encode()] if p.bytes else [p.unknown], np.int32)
+
+
+def spelt(ids: np.ndarray, ends: np.ndarray, spelling: list[bytes]):
+    """Yield the text of each run of ids, without the leading mark."""
+    flat = np.frombuffer(b"".join(spelling), np.uint8)
+    count = np.array([len(x) for x in spelling], np.int64)
+    begin = np.cumsum(count) - count
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(count)):
+        raise ValueError("an id is outside the model")
+    at = 0
+    while at < len(ends) - 1:  # some hundred thousand ids at a time
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + 300_000, "right")) - 1)
+        some = ids[ends[at] : ends[end]]
+        raw = flat[_ragged(begin[some], count[some])].tobytes()
+        cut = np.concatenate(([0], np.cumsum(count[some])))[ends[at : end + 1] - ends[at]]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            text = raw[a:b].decode("utf-8", "replace")
+            yield text[1:] if text[:1] == " " else text
+        at = end
 
 
 def decode(rows: DataFrame, model: Pieces | str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -317,22 +420,12 @@ def decode(rows: DataFrame, model: Pieces | str, ids_col: str = "ids", out_col:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != out_col) + f", `{out_col}` string"
 
     def spell(batches):
-        table = shared.value
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        count = np.array([len(x) for x in table], np.int64)
-        begin = np.cumsum(count) - count
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids = batch.column(ids_col)
-            lens = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0), np.int64)
-            at = np.asarray(ids.flatten(), np.int64)
-            if len(at) and (at.min() < 0 or at.max() >= len(count)):
-                raise ValueError("an id is outside the model")
-            raw = flat[_ragged(begin[at], count[at])].tobytes()
-            ends = np.concatenate(([0], np.cumsum(count[at])))[np.concatenate(([0], np.cumsum(lens)))]
-            out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0), np.int64))))
             t = pa.Table.from_batches([batch])
             t = t.drop_columns([out_col]) if out_col in t.column_names else t
-            yield from t.append_column(out_col, pa.array([x[1:] if x[:1] == " " else x for x in out], pa.string())).to_batches()
+            yield from t.append_column(out_col, pa.array(spelt(np.asarray(ids.flatten()), ends, shared.value), pa.string())).to_batches()
 
     return rows.mapInArrow(spell, ddl)
 
