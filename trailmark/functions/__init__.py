@@ -1 +1 @@
-
+"""Column functions: geography, time, text and vectors."""

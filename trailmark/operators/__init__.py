@@ -1 +1 @@
-
+"""Operators over check-ins, sessions, places and decision states."""

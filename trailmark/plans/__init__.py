@@ -1 +1 @@
-
+"""Whole pipelines over the operators."""

@@ -1 +1 @@
-
+"""Reading and writing of the engine's tables."""

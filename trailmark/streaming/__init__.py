@@ -1 +1 @@
-
+"""Live sessions."""
