@@ -97,7 +97,8 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: f
     # a hair below a whole number of passes is that number
     sources = sources.withColumn("passes", F.when(F.abs(F.col("passes") - F.round("passes")) < 1e-6, F.round("passes")).otherwise(F.col("passes")))
     sources = cut(sources.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")))
-    placed = texts.join(sources, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed))
+    small = _small(sources)
+    placed = texts.join(small, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed))
     blocks = placed.groupBy("_source", "block").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"), F.first("weight").alias("weight"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil("passes") - 1).cast("int")))))
     order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")
@@ -106,7 +107,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: f
     blocks = cut(blocks.withColumn("room", left).filter("room > 0"))
     # the block in which a partial pass ends takes texts in the order of their hash while there is room
     last = blocks.filter("room < n").select("_source", "block", "epoch", "room")
-    inside = texts.join(sources.select("_source", "blocks"), "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).join(F.broadcast(last) if _few(last) else last, ["_source", "block"])
+    inside = texts.join(small.select("_source", "blocks"), "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).join(_small(last), ["_source", "block"])
     inside = inside.withColumn("key", _key(F.col("_id"), F.col("epoch"), seed))
     run = Window.partitionBy("_source", "epoch").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = inside.withColumn("upto", F.sum("n").over(run)).filter("upto - n < room").groupBy("_source", "block", "epoch").agg(F.max("key").alias("cut"))
@@ -114,9 +115,9 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: f
     return texts, blocks.select("_source", "block", "blocks", "epoch", "place", "weight", "passes", "cut")
 
 
-def _few(rows: DataFrame) -> bool:
-    """Whether rows (one for each source at most) are few enough to broadcast: counted, not guessed."""
-    return rows.count() <= 50_000
+def _small(rows: DataFrame) -> DataFrame:
+    """rows to join with, broadcast if they are few enough: counted, not guessed; else the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= 50_000 else rows
 
 
 def _source(col: str) -> Column:
@@ -137,9 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if (repeat_limit is not None and repeat_limit < 1 and budget is None) or (target_entropy is not None and not 0 <= target_entropy <= 1):
         raise ValueError("repeat_limit must be 1 at least, and target_entropy from 0 to 1")
     texts, blocks = plan(docs, id_col, text_col, source_col, budget, target_entropy, repeat_limit, seed)
-    sizes = blocks.select("_source", "blocks").distinct()
+    sizes = _small(blocks.select("_source", "blocks").distinct())
     held = docs.select(F.col(id_col).alias("_id"), _source(source_col), F.col(source_col).alias("source"), F.struct(*[F.col(c) for c in keep]).alias("_keep")) if keep else docs.select(F.col(id_col).alias("_id"), _source(source_col), F.col(source_col).alias("source"))
-    drawn = held.join(sizes, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).drop("blocks").join(blocks, ["_source", "block"])
+    drawn = held.join(sizes, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).drop("blocks").join(_small(blocks), ["_source", "block"])
     drawn = drawn.withColumn("key", _key(F.col("_id"), F.col("epoch"), seed)).filter("cut is null or key <= cut")
     inner = F.col("key") / F.lit(2.0**64) + 0.5
     drawn = drawn.withColumn("position", (F.col("epoch") + (F.col("place") + inner) / F.col("blocks")) / F.col("passes"))
