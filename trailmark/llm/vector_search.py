@@ -90,8 +90,9 @@ def exact_top_k(rows: DataFrame, query_on: Column, k: int = 10, scale: int = 102
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     longest = found.orderBy(F.desc(length), "id").limit(1024).toArrow()
     seed_ids, seeds = longest["id"].to_numpy(), matrix(longest["v"])
-    _, _, turn = np.linalg.svd(_sample(found), full_matrices=True)
-    turn, lead = turn.T, min(lead, d)
+    sample = _sample(found)
+    # right singular vectors, the largest first, by way of the small Gram matrix
+    turn, lead = np.ascontiguousarray(np.linalg.eigh(sample.T @ sample)[1][:, ::-1]), min(lead, d)
     shared = rows.sparkSession.sparkContext.broadcast((turn, seed_ids, seeds))
     # blocks: bands of like length, cut further by a hash where many vectors have one length
     blocks = max(1, math.ceil(n / BLOCK))
