@@ -220,6 +220,18 @@ def canonical_counters(spark, d):
     return op.counters(raw, run.clean, run.sessions, run.checkins)
 
 
+@query(f"{_SS}, {_BOUNDS}, {_SPLIT} SELECT event_id, ss.SessionId FROM ss JOIN sp ON ss.SessionId = sp.SessionId WHERE SplitTag = 'validation'")
+def split_tables(spark, d):
+    """Both tables written with a folder for each split tag; one split is read back."""
+    from .sources.files import write_by_split
+
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trailmark_splits_" + str(abs(hash(d)))
+    rows = op.held(_sessions(spark, d))
+    sessions = op.split_sessions(op.session_boundaries(rows))
+    write_by_split(op.attach_split(rows, sessions), sessions, path)
+    return spark.read.parquet(f"{path}/checkins").filter("SplitTag = 'validation'").select("event_id", "SessionId")
+
+
 _ISO = "iso AS (SELECT * FROM (SELECT *, coalesce(date_diff('microsecond', lag(Time) OVER w, Time), 1e18) AS b, coalesce(date_diff('microsecond', Time, lead(Time) OVER w), 1e18) AS a FROM {} WINDOW w AS (PARTITION BY UId ORDER BY Time, PId, event_id)) WHERE NOT (b > {} * 1e6 AND a > {} * 1e6))"
 
 
@@ -433,6 +445,16 @@ def range_pairs_1km(spark, d):
     return sp.range_join(p, p, 1000.0).filter("l_poi <> r_poi").select(F.col("l_poi").alias("src"), F.col("r_poi").alias("dst"), F.round("distance_m", 4).alias("distance_m"))
 
 
+def _cell_sql(level: int) -> str:
+    step = f"(360.0 / (1.0 * pow(7, {level / 2}) * 8))"
+    return f"'g{level}:' || CAST(floor((lat + 90.0) / {step}) AS BIGINT) || ':' || CAST(floor((lon + 180.0) / {step}) AS BIGINT)"
+
+
+@query(f"{_CK}, {fx.PLACES_SQL} SELECT poi, {_cell_sql(8)} AS coarse, {_cell_sql(9)} AS fine FROM pl")
+def region_cells(spark, d):
+    return fx.places(spark, d).select("poi", geo.cell_id("lat", "lon", 8).alias("coarse"), geo.cell_id("lat", "lon", 9).alias("fine"))
+
+
 _PATHS = "un AS (SELECT u, v, min(length) AS length FROM (SELECT u, v, length FROM ed UNION ALL SELECT v, u, length FROM ed) GROUP BY u, v), wk(src, node, dist) AS (SELECT node_id, node_id, CAST(0 AS DOUBLE) FROM nd UNION SELECT wk.src, un.v, wk.dist + un.length FROM wk JOIN un ON wk.node = un.u WHERE wk.dist + un.length <= {}), sh AS (SELECT src, node, min(dist) AS distance FROM wk GROUP BY src, node)"
 
 
@@ -690,6 +712,16 @@ def cases_ranked(spark, d):
     return cs.rank_sessions(model, labelled, last).withColumn("score", F.round("score", 4))
 
 
+@query()
+def case_retrieval(spark, d):
+    """The whole session-to-session pipeline: pool of earlier sessions, later ones ask."""
+    from .plans.case_retrieval import run_case_retrieval
+
+    rows = op.held(_sessions(spark, d, DAY))
+    run = run_case_retrieval(rows.filter("SessionId % 5 <> 0"), rows.filter("SessionId % 5 = 0"), _assigned(rows), max_iter=20)
+    return run.predictions.withColumn("score", F.round("score", 4))
+
+
 @query()
 def case_dataset(spark, d):
     """Nested records of each query with its retrieved sessions, scored by position."""

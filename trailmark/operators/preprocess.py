@@ -180,8 +180,9 @@ def split_checkins(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0
 
 
 def attach_split(checkins: DataFrame, sessions: DataFrame) -> DataFrame:
-    """checkins with their session's SplitTag and ordinals within session and user."""
-    out = checkins.join(sessions.select("SessionId", "SplitTag"), "SessionId")
+    """checkins with their session's SplitTag (a session without one is an error) and ordinals within session and user."""
+    out = checkins.join(sessions.select("SessionId", "SplitTag"), "SessionId", "left")
+    out = out.withColumn("SplitTag", F.coalesce("SplitTag", F.raise_error(F.lit("a session has no split tag"))))
     keys = order_of(checkins, "Time", "PId")
     ordinal = lambda key: (F.row_number().over(Window.partitionBy(key).orderBy(*keys)) - 1).cast("long")
     return out.withColumn("session_checkin_index", ordinal("SessionId")).withColumn("user_checkin_index", ordinal("UId"))
