@@ -508,7 +508,7 @@ bs AS (SELECT b1.*, p1.gap_s AS g1, p1.gap_bin AS gb1, p1.final_distance_m AS d1
 FROM b1 LEFT JOIN tr p1 ON p1.SessionId = b1.SessionId AND p1.transition_index = decision_index - 1 LEFT JOIN tr p2 ON p2.SessionId = b1.SessionId AND p2.transition_index = decision_index - 2 JOIN dx ON dx.poi = current_POIId)"""
 _DESC2 = f"{_DENS}, {_DEG}, dx AS (SELECT de.poi, density_count, nn.node_id, node_degree FROM de JOIN nn ON de.poi = nn.poi LEFT JOIN dg ON nn.node_id = dg.node_id)"
 _ST = f"{_TR}, {_DESC2}, {_STATES}"
-_STATE_COLS = """SessionId, decision_index, current_POIId, current_category, current_time_bin, decision_index + 1 AS prefix_len, round(elapsed, 6) AS prefix_elapsed_min, CAST(up AS BIGINT) AS prefix_unique_poi_count, CAST(uc AS BIGINT) AS prefix_unique_category_count, round(1.0 - up / CAST(decision_index + 1 AS DOUBLE), 6) AS prefix_repeat_ratio,
+_STATE_COLS = """SessionId, decision_index, current_POIId, current_category, current_time_bin, decision_index + 1 AS prefix_len, round(elapsed * 60.0, 6) AS prefix_elapsed_s, CAST(up AS BIGINT) AS prefix_unique_poi_count, CAST(uc AS BIGINT) AS prefix_unique_category_count, round(1.0 - up / CAST(decision_index + 1 AS DOUBLE), 6) AS prefix_repeat_ratio,
 coalesce(gb1, 'BOS') AS prev1_gap_bin, coalesce(db1, 'BOS') AS prev1_distance_bin, coalesce(rb1, 'BOS') AS prev1_direction_bin, round(g2, 6) AS prev2_gap_s, round(d2, 4) AS prev2_distance_m, density_count AS curr_density_count"""
 
 
@@ -519,7 +519,7 @@ def _states(spark, d, current: bool = False) -> DataFrame:
 
 
 def _shown(df: DataFrame, *more) -> DataFrame:
-    return df.select("SessionId", "decision_index", "current_POIId", "current_category", "current_time_bin", "prefix_len", r6("prefix_elapsed_min", "prefix_elapsed_min"), "prefix_unique_poi_count", "prefix_unique_category_count", r6("prefix_repeat_ratio", "prefix_repeat_ratio"), "prev1_gap_bin", "prev1_distance_bin", "prev1_direction_bin", r6("prev2_gap_s", "prev2_gap_s"), F.round("prev2_distance_m", 4).alias("prev2_distance_m"), "curr_density_count", *more)
+    return df.select("SessionId", "decision_index", "current_POIId", "current_category", "current_time_bin", "prefix_len", F.round(F.col("prefix_elapsed_min") * 60.0, 6).alias("prefix_elapsed_s"), "prefix_unique_poi_count", "prefix_unique_category_count", r6("prefix_repeat_ratio", "prefix_repeat_ratio"), "prev1_gap_bin", "prev1_distance_bin", "prev1_direction_bin", r6("prev2_gap_s", "prev2_gap_s"), F.round("prev2_distance_m", 4).alias("prev2_distance_m"), "curr_density_count", *more)
 
 
 @query(f"{_ST} SELECT {_STATE_COLS}, next_POIId, next_category FROM bs WHERE next_time IS NOT NULL")
