@@ -158,11 +158,11 @@ def _tag(rank: Column, edges: tuple[int, int]) -> Column:
 
 
 def global_rank(df: DataFrame, time: str, keys: list[str]) -> DataFrame:
-    """df with ``_rank`` (0, 1, ...) by time and keys, each day numbered apart and then shifted by the days before."""
-    df = df.withColumn("_day", F.to_date(time))
+    """df with ``_rank`` (0, 1, ...) by time and keys, each hour numbered apart and then shifted by the hours before."""
+    df = df.withColumn("_day", F.date_trunc("hour", time))
     days = df.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.withColumn("_before", before).select("_day", "_before")  # a row a day
+    days = days.withColumn("_before", before).select("_day", "_before")  # a row an hour
     inner = F.row_number().over(Window.partitionBy("_day").orderBy(time, *keys))
     return df.withColumn("_inner", inner).join(F.broadcast(days), "_day").withColumn("_rank", F.col("_before") + F.col("_inner") - 1).drop("_day", "_before", "_inner")
 

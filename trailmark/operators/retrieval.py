@@ -82,7 +82,7 @@ def retrieve(queries: DataFrame, cases: DataFrame, cfg: RetrievalConfig = Retrie
 
     Queries and cases meet on a prototype, or on blocks of cases that every query visits, so a join key always exists.
     """
-    spread = 16
+    spread = max(16, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cases = cases.select(*[F.col(c).alias(f"c_{c}") for c in cases.columns]).withColumn("_block", F.pmod(F.xxhash64("c_SessionId", "c_decision_index"), F.lit(spread)))
     every = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
     if routing == "none":
@@ -123,8 +123,9 @@ def candidates(cases: DataFrame, temperature: float = 1.0, limit: int = 10) -> D
     return out.withColumn("candidate_rank", F.row_number().over(order)).filter(F.col("candidate_rank") <= limit)
 
 
-def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int | None = None) -> DataFrame:
     """The k most similar other rows by cosine for each row that ``queries`` picks; ties to smaller ids."""
+    blocks = blocks or max(16, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = vectors.select(F.col(id_col).alias("id"), vec.unit(F.col(vector_col).cast("array<double>")).alias("v")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = rows.filter(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     pairs = asked.join(rows, "_b").filter("id <> query_id").select("query_id", F.col("id").alias("vec_id"), vec.dot("q", "v").alias("cosine"))
