@@ -31,7 +31,7 @@ def empty(spark):
     return spark.createDataFrame([], cases.SCHEMA)
 
 
-@pytest.fixture(params=[1 << 23, 2000], ids=["one part", "many parts"])
+@pytest.fixture(params=[1 << 22, 2000], ids=["one part", "many parts"])
 def parts(request, monkeypatch):
     monkeypatch.setattr(_chunks, "PART_BYTES", request.param)
 

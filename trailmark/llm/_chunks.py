@@ -11,6 +11,8 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D.  Null texts count as
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -19,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes of a part; with its NumPy arrays a part stays far under 300 MB in a Python worker.
-PART_BYTES = 8 << 20
+#: Text bytes of a part; with its NumPy arrays a part takes about 100 MB in a Python worker.
+PART_BYTES = 4 << 20
 #: Rows of a part, on average at most.
-PART_ROWS = 20_000
+PART_ROWS = 10_000
 #: Keys that the reducer of one bucket holds, about.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
@@ -34,6 +36,9 @@ _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+_libc = ctypes.CDLL(None)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -75,6 +80,7 @@ class Words:
     """Words of many texts: byte ranges, hashes, and which text each belongs to."""
 
     def __init__(self, texts, fold: bool = False, hashes: bool = True):
+        trim()  # what the chunk before has left
         self.data, self.offs = text_bytes(texts)
         n = len(self.data)
         inside = ~_SPACE[self.data]
@@ -189,6 +195,7 @@ def blob_table(rows: list[tuple]) -> pa.Table:
 
 def blobs(table: pa.Table, kind: int | None = None):
     """Rows of a blob table as tuples (bucket, part, n, blob), in order of bucket and part."""
+    trim()
     rows = zip(*(table[c].to_pylist() for c in ("bucket", "part", "kind", "n", "blob")), strict=True)
     return sorted((b, p, n, raw) for b, p, k, n, raw in rows if kind is None or k == kind)
 
@@ -216,3 +223,11 @@ def slices(batch, text: str = "text", limit: int = 0):
         end = max(at + 1, int(np.searchsorted(sizes, done + limit, "right")))
         yield table.slice(at, end - at)
         at, done = end, sizes[end - 1]
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: after a peak the driver or worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        _libc.malloc_trim(0)

@@ -304,13 +304,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = _documents(docs, k)
     own = seen.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "set_id", "sig")
     classes = C.cut(own.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("sig").alias("sig")))
-    top = seen.filter("kind = 1").groupBy("set_id").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "set_id").limit(ORDERED).collect()
+    top = seen.filter("kind = 1").groupBy("set_id").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "set_id").limit(ORDERED).toArrow()
     posted, distinct = seen.filter("kind = 2").agg(F.coalesce(F.sum("doc_id"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sizes = dict(classes.filter(F.col("n") <= 2 * LIGHT_MAX).groupBy("n").count().collect())
     boundary = light_boundary(sizes, percent, posted / max(1, distinct))
-    often = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    often, counts = (top[c].to_numpy().astype(np.int64) for c in ("set_id", "m"))
     bits = C.bucket_bits(posted * (100 - percent) // 100 * 2)
-    found = _candidates(docs, k, percent, boundary, often, np.array([r[1] for r in top], np.int64), bits)
+    found = _candidates(docs, k, percent, boundary, often.view(np.uint64), counts, bits)
     star = C.cut(_possible(found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes, percent))
     links = C.cut(_linked(star, docs, classes, k, percent))
     more = _across(found.filter("kind = 1").select("x", "y"), classes, connected_components(links), percent, complete)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import _chunks as C
 
 MARK = 1
+#: Text bytes taken at once: a letter has three n-grams of eight bytes, sorted and counted.
+SLICE = 1 << 20
 _lower: dict[int, int] = {}
 
 
@@ -90,7 +92,7 @@ def profiles(docs: DataFrame, text_col: str, lang_col: str, size: int) -> dict[s
 
     def count(batches):
         for batch in batches:
-            for t in C.slices(batch):
+            for t in C.slices(batch, "text", SLICE):
                 for t in _fitting(t, "text"):
                     lang = t["lang"].combine_chunks().dictionary_encode()
                     g = Grams(t["text"], lang.indices.to_numpy())
@@ -143,7 +145,7 @@ def language_id(docs: DataFrame, learn_on: Column, id_col: str = "doc_id", text_
 
     def predict(batches):
         for batch in batches:
-            for t in C.slices(batch):
+            for t in C.slices(batch, "text", SLICE):
                 for t in _fitting(t, "text"):
                     langs, score = model.value.predict(t["text"])
                     yield from t.drop_columns(["text"]).append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(score)).to_batches()

@@ -22,6 +22,8 @@ from . import _chunks as C
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (3, 4)
+#: Text bytes taken at once: a byte has two n-grams with several numbers of eight bytes each.
+SLICE = 1 << 20
 
 
 def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -38,6 +40,11 @@ def features(texts):
     """For each kind of feature: buckets, and where those of each text begin and end."""
     w = C.Words(texts)
     yield (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64), w.first[:-1], w.first[1:]
+    if len(w.hash) > 1:
+        # pairs of words; a word after itself is one and the same feature, whichever word it is
+        pair = C.mix(w.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[1:]) & np.uint64(BUCKETS - 1)
+        pair[w.hash[:-1] == w.hash[1:]] = 0
+        yield pair.astype(np.int64), w.first[:-1], np.maximum(w.first[:-1], w.first[1:] - 1)
     x = w.data.astype(np.uint32)
     for n in GRAMS:
         if len(x) >= n:
@@ -71,7 +78,7 @@ class Classifier:
                 y, at, counts = rows[i]
                 if len(at):
                     lr = rate * (1 - step / steps)
-                    part = (counts / counts.sum()).astype(np.float32)
+                    part = (counts / counts.sum(dtype=np.int64)).astype(np.float32)
                     mean = part @ vectors[at]
                     z = weights @ mean + bias
                     p = np.exp(z - z.max())
@@ -100,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str, tex
 
     def bags(batches):
         for batch in batches:
-            for t in C.slices(batch, "_text"):
+            for t in C.slices(batch, "_text", SLICE):
                 found = list(features(t["_text"]))
                 for d, y in enumerate(t["_y"].to_pylist()):
                     at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[b[d] : e[d]] for x, b, e in found)]), return_counts=True)
@@ -108,12 +115,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str, tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # max_labels rows of two numbers: small enough to broadcast at any corpus size
-    rows = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).select("_y", "_text").mapInArrow(bags, "y int, at binary, n binary").collect()
-    rows = [(y, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float32)) for y, at, n in sorted(rows)]
-    return Classifier.fit(rows)
+    rows = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).select("_y", "_text").mapInArrow(bags, "y int, at binary, n binary").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("y", "at", "n")), strict=True))
+    found = Classifier.fit([(y, np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint16)) for y, at, n in rows])
+    del rows
+    C.trim()
+    return found
 
 
-def quality_score(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_score(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, held_out, score (probability of label 1), predicted, then the columns in
     ``keep``.  ``learn_on`` is over the labels' columns; only its rows are learned from (null: not held out)."""
     learns = F.coalesce(learn_on, F.lit(True))
@@ -122,7 +132,7 @@ def quality_score(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col:
 
     def scored(batches):
         for batch in batches:
-            for t in C.slices(batch):
+            for t in C.slices(batch, "text", SLICE):
                 score = model.value.score(t["text"])
                 t = t.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32)))
                 yield from t.drop_columns(["text"]).to_batches()

@@ -96,13 +96,16 @@ class Units:
     """Units of many texts: code point ranges, their hashes, and which are single unknown characters."""
 
     def __init__(self, texts: list[str | None], pieces: Pieces, key: int, bits: int):
+        C.trim()  # what the chunk before has left
         if key not in _tables:
             _tables[key] = pieces.join_table()
         place, spans = _tables[key]
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         self.marked = "".join(marked)
+        sizes = [len(t) for t in marked]
+        del marked
         self.x = np.frombuffer(self.marked.encode("utf-32-le"), np.uint32)
-        self.offs = np.concatenate(([0], np.cumsum([len(t) for t in marked], dtype=np.int64)))
+        self.offs = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         # by blocks: index arrays take eight bytes a character
         k, begin = np.empty(len(self.x), np.uint16), np.ones(len(self.x), bool)
         for at in range(0, len(k), C.BLOCK):
@@ -274,6 +277,7 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
         return C.range_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), begin, end, _code_points()), end, text
 
     def distinct(table: pa.Table) -> pa.Table:
+        C.trim()
         sent = [asked_units(n, body) for n, body in zip(table["n"].to_pylist(), table["body"].to_pylist(), strict=True)]
         h = np.concatenate([x[0] for x in sent])
         order = np.argsort(h)
