@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 
 import numpy as np
@@ -213,6 +214,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Have Spark delete the shuffle files of steps that are over now, not at the driver's next full collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def slices(batch, text: str = "text", limit: int = 0):
     """Tables of consecutive rows of a record batch with about PART_BYTES (or limit) of text each, or one row."""
     limit = limit or PART_BYTES

@@ -244,6 +244,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
     items = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(expand, "set_id long, items binary").dropDuplicates(["set_id"])
     items = C.cut(items)
+    C.release(docs)
     side = lambda s: items.select(F.col("set_id").alias(s), F.col("items").alias(f"x{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(decide, "a long, b long")
 
@@ -311,10 +312,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often, counts = (top[c].to_numpy().astype(np.int64) for c in ("set_id", "m"))
     bits = C.bucket_bits(posted * (100 - percent) // 100 * 2)
     found = _candidates(docs, k, percent, boundary, often.view(np.uint64), counts, bits)
+    C.release(docs)
     star = C.cut(_possible(found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes, percent))
     links = C.cut(_linked(star, docs, classes, k, percent))
+    C.release(docs)
     more = _across(found.filter("kind = 1").select("x", "y"), classes, connected_components(links), percent, complete)
     more = C.cut(more.join(star, ["a", "b"], "left_anti"))
+    C.release(docs)
     return own.drop("sig"), links.unionByName(C.cut(_linked(more, docs, classes, k, percent)))
 
 
