@@ -30,9 +30,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by near-duplicate links, the one with the smallest id."""
-    groups = jaccard_components(docs).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    # rows that repeat an id with one text are copies as well
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    groups = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter("doc_id is not null").join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    # rows that repeat an id with one text are copies as well; they lie together after the join
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null").select(*COLUMNS).dropDuplicates(["text"]))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
