@@ -150,6 +150,15 @@ def test_lm_without_training(docs, empty, rows):
     assert lm_score(empty, F.lit(True)).count() == 0
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    """9,000,000 words seen once: 8 bits each are more than 2^26."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(8999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 9000 + i).cast("string"))))
+    d = spark.range(0, 1000, 1, 8).select(F.col("id").alias("doc_id"), words.alias("text"))
+    d = d.withColumn("text", F.concat_ws(" ", "text", F.lit("end")))
+    got = lm_score(d, F.lit(True), order=1).agg(F.min(F.col("score") - F.col("base_score")), F.max("n_tokens")).first()
+    assert got[1] == 9002 and got[0] > -1  # without level 1 every word would lose log10(2)
+
+
 def test_levels_grow_and_estimate():
     c = np.arange(1, 5000)
     q = level(c)

@@ -1,20 +1,17 @@
 """N-gram language-model scoring from a log-frequency Bloom filter.
 
-Training counts every n-gram of all training texts with bucketed exchanges (orders above 1 only where both shorter
-n-grams survived, which loses no n-gram that can reach the kept counts).  A count c has the level
-``1 + floor(2 * log2(c))``; the filter of its order holds the n-gram once for each level up to its own.  A lookup
-probes level after level until one is missing and takes the middle of the last level's counts as the estimate.
-A filter is cut into slices, one for each bucket of n-grams, so the reducer of a bucket makes its slice and the
-driver receives nothing but the finished filters.
-
-``max_bits`` bounds each filter and so the broadcast.  Where n-grams at the lowest level don't fit, the lowest
-levels of that order are left out (the model gets coarser, the counting still covers everything).
+A count c has the level ``1 + floor(2 * log2(c))``; the filter of an order holds an n-gram once for each level up to
+its own.  A lookup probes level after level until one is missing and takes the middle of the last level's counts as
+the estimate.  The filter is cut by the leading bits of the n-grams: every part of the corpus sends the n-grams of its
+texts with their training counts to their buckets, and the reducer of a bucket adds the counts, fills its piece of
+the filter and answers each entry with the level found there.  A piece has BITS_EACH bits at least for every level
+of every n-gram in it and the number of buckets grows with the corpus, so the filter is never gathered in one place
+and no level is left out for size.
 
 Probability of a token after its history h: ``(1 - w) * P(shorter history) + w * min(1, c(h, token) / c(h))`` where
 the filter knows h, else P(shorter history); with no history ``(c + 1) / (N + V + 1)``.
 
-Also returned is the exact add-one unigram score: word counts are exchanged part by part, so every text gets exact
-counts without a broadcast vocabulary.
+Also returned is the exact add-one unigram score: buckets of single tokens answer with the exact count as well.
 
 Tokens: words outside 0x20 and 0x09-0x0D, A-Z lower-cased, then one end token a text.  Defined cases: null and
 empty texts are one end token; null ids pass through; no training text: N = V = 0; repeated rows count twice.
@@ -67,203 +64,153 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """A Bloom filter over (n-gram, level), cut into slices by the leading bits of the n-gram."""
-
-    def __init__(self, bits: int, slice_bits: int, lowest: int, data: np.ndarray):
-        self.bits, self.slice_bits, self.lowest, self.data = bits, slice_bits, lowest, data
+    """A Bloom filter over (n-gram, level) for the n-grams of one bucket, sized by its entries."""
+
+    def __init__(self, key: np.ndarray, q: np.ndarray, lowest: int = 1):
+        """Hold each key for the levels from lowest to its own."""
+        by = np.argsort(-q, kind="stable")
+        key, q = key[by], q[by]
+        entries = int(np.maximum(q - lowest + 1, 0).sum())
+        self.bits = 1 << max(10, math.ceil(math.log2(max(1, entries * BITS_EACH))))
+        self.lowest, slots = lowest, np.zeros(self.bits, bool)
+        for at in range(lowest, int(q.max(initial=0)) + 1):
+            held = key[: int(np.searchsorted(-q, -at, "right"))]
+            for i in range(PROBES):
+                slots[self.places(held, at, i)] = True
+        self.data = np.packbits(slots, bitorder="little")
 
-    @staticmethod
-    def places(key: np.ndarray, q, i: int, slice_bits: int) -> np.ndarray:
+    def places(self, key: np.ndarray, q: int, i: int) -> np.ndarray:
         h = C.mix(key ^ (np.asarray(q, np.uint64) * np.uint64(0x9FB21C651E98DF25)))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return (h + np.uint64(i) * step) & np.uint64(slice_bits - 1)
+        return (h + np.uint64(i) * step) & np.uint64(self.bits - 1)
 
-    def levels(self, key: np.ndarray, bits_kept: int) -> np.ndarray:
+    def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 where the filter has none; probes go on while they succeed."""
-        key = key >> np.uint64(64 - bits_kept) if bits_kept < 64 else key
-        base = (key >> np.uint64(bits_kept - self.bits)) * np.uint64(self.slice_bits)
         found, live, q = np.zeros(len(key), np.int64), np.arange(len(key)), self.lowest
         while len(live) and q <= LEVELS:
             for i in range(PROBES):
-                p = base[live] + self.places(key[live], q, i, self.slice_bits)
+                p = self.places(key[live], q, i)
                 live = live[self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1 == 1]
             found[live] = q
             q += 1
         return found
 
 
-class Model:
-    """Filters of all orders with the training totals; broadcast as it is, at most max_bits / 8 bytes an order."""
-
-    def __init__(self, n_tokens: int, n_types: int, bits: int):
-        self.n_tokens, self.n_types, self.bits, self.filters = n_tokens, n_types, bits, {}
-
-    def kept_bits(self, n: int) -> int:
-        return 64 if n == 1 else self.bits + 40
-
-    def counts(self, n: int, key: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(key, return_inverse=True)
-        return ESTIMATE[self.filters[n].levels(distinct, self.kept_bits(n))][back]
+def grams(h: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, key) of each n-gram inside one text; of order 2 and above the bucket and 40 more bits are kept."""
+    if n == 1:
+        return np.arange(len(h)), h
+    at, key = C.word_ngrams(h, doc, n)
+    return at, key >> np.uint64(64 - bits - 40)
 
-    def log10(self, h: np.ndarray, doc: np.ndarray, weight: float) -> np.ndarray:
-        """Log probability of each token."""
-        c = self.counts(1, h)
-        p = (c + 1) / (self.n_tokens + self.n_types + 1)
-        before = c[:-1]
-        for n in sorted(self.filters)[1:]:
-            at, key = C.word_ngrams(h, doc, n)
-            if not len(at):
-                break
-            c, past = self.counts(n, key), before[at]
-            known = past > 0
-            last = at + n - 1
-            p[last] = np.where(known, (1 - weight) * p[last] + weight * np.minimum(1, c / np.maximum(past, 1)), p[last])
-            before = np.zeros(len(h))
-            before[at] = c
-        return np.log10(p)
 
+def log10(c: list[np.ndarray], at: list[np.ndarray], size: int, weight: float) -> np.ndarray:
+    """Log probability of each token from the counts of the n-grams of each order; size is N + V + 1."""
+    p = (c[0] + 1) / size
+    before = c[0][:-1]
+    for n in range(2, len(c) + 1):
+        if not len(at[n - 1]):
+            break
+        now, past = c[n - 1], before[at[n - 1]]
+        last = at[n - 1] + n - 1
+        p[last] = np.where(past > 0, (1 - weight) * p[last] + weight * np.minimum(1, now / np.maximum(past, 1)), p[last])
+        before = np.zeros(len(p))
+        before[at[n - 1]] = now
+    return np.log10(p)
 
-def train(docs: DataFrame, text_col: str, order: int = 3, max_bits: int = 1 << 26) -> Model:
-    """Count all n-grams of docs and fill the filters."""
-    rows, size = C.corpus_size(docs, text_col)
-    bits = min(C.bucket_bits(size // 6), 16)
-    texts = docs.select(F.col(text_col).alias("text"))
-    model = Model(0, 0, bits)
-    for n in range(1, order + 1):
-        _add_order(model, texts, n, max_bits)
-    return model
 
-
-def _add_order(model: Model, texts: DataFrame, n: int, max_bits: int) -> None:
-    """Count the n-grams of one order and give the model its filter."""
-    bits, wide, kept = model.bits, KEY_BYTES.get(n, 5), model.kept_bits(n)
-    known = texts.sparkSession.sparkContext.broadcast(model) if n > 2 else None
+def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
+    """(tokens, distinct tokens) of docs, counted exactly in buckets."""
 
     def count(batches):
         for batch in batches:
             for t in C.slices(batch):
-                h, doc, _ = tokens(t["text"])
-                at, key = (np.arange(len(h)), h) if n == 1 else C.word_ngrams(h, doc, n)
-                if known is not None:
-                    at_less, less = C.word_ngrams(h, doc, n - 1)
-                    has = np.zeros(len(h) + 1, bool)
-                    has[at_less] = known.value.counts(n - 1, less) > 0
-                    key = key[has[at] & has[at + 1]]
-                key, c = np.unique(key >> np.uint64(64 - kept), return_counts=True)
-                edges, rows = C.bucket_edges(key, bits, kept), []
+                word, c = np.unique(tokens(t["text"])[0], return_counts=True)
+                edges, rows = C.bucket_edges(word, bits), []
                 for b in np.flatnonzero(np.diff(edges)):
                     cut = slice(edges[b], edges[b + 1])
-                    big = np.repeat(key[cut][c[cut] > 255], (c[cut][c[cut] > 255] - 1) // 255)
-                    k = np.concatenate((key[cut], big))
-                    less = ((c[cut] - 1) % 255 + 1).astype(np.uint8).tobytes() + b"\xff" * len(big)
-                    rows.append((int(b), -1, n, len(k), C.to_bytes(k, wide) + less))
+                    rows.append((int(b), -1, 1, int(edges[b + 1] - edges[b]), C.to_bytes(word[cut], 8) + int(c[cut].sum()).to_bytes(8, "little")))
                 yield from C.blob_table(rows).to_batches()
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
-        k = np.concatenate([C.from_bytes(raw, m, wide) for _, _, m, raw in sent])
-        c = np.concatenate([np.frombuffer(raw, np.uint8, m, m * wide) for _, _, m, raw in sent])
-        by = np.argsort(k)
-        begin = C.runs(k[by])
-        k, c = k[by][begin], np.add.reduceat(c[by].astype(np.int64), begin)
-        q = np.minimum(level(c), LEVELS)
-        least = q > (1 if n > 1 else 0)  # n-grams of order 2 and above that occur once predict nothing
-        by = np.argsort(-q[least], kind="stable")
-        raw = C.to_bytes(k[least][by], wide)
-        return pa.Table.from_pylist([{"bucket": key[0].as_py(), "hist": np.bincount(q, minlength=LEVELS + 1).tolist(), "total": int(c.sum()), "keys": raw}], schema=ITEMS)
-
-    items = C.cut(texts.mapInArrow(count, C.BLOB_DDL).groupBy("bucket").applyInArrow(add, "bucket int, hist array<long>, total long, keys binary"))
-    hist = np.zeros(LEVELS + 1, np.int64)
-    for q, m in items.select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col")).collect():  # LEVELS rows at most
-        hist[q] = m
-    if n == 1:
-        model.n_tokens = int(items.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
-        model.n_types = int(hist.sum())
-    lowest = 1 if n == 1 else 2
-    entries = lambda least: int(sum(m * (q - least + 1) for q, m in enumerate(hist) if q >= least))
-    while entries(lowest) * BITS_EACH > max_bits:
-        lowest += 1
-    slice_bits = 1 << max(10, math.ceil(math.log2(max(1, entries(lowest)) * BITS_EACH)) - bits)
-    if slice_bits << bits > max_bits:
-        slice_bits = max_bits >> bits
-
-    def fill(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                m = len(row["keys"]) // wide
-                k = C.from_bytes(row["keys"], m, wide)
-                if wide < 8:
-                    k |= np.uint64(row["bucket"]) << np.uint64(kept - bits)
-                at_least = np.cumsum(row["hist"][::-1])[::-1]  # keys come by falling level
-                slots = np.zeros(slice_bits, bool)
-                for q in range(lowest, LEVELS + 1):
-                    if not at_least[q]:
-                        break
-                    for i in range(PROBES):
-                        slots[Filter.places(k[: at_least[q]], q, i, slice_bits)] = True
-                yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "slots": np.packbits(slots, bitorder="little").tobytes()}], schema=SLICE)
-
-    data = np.zeros((1 << bits, slice_bits // 8), np.uint8)
-    for b, slots in items.mapInArrow(fill, "bucket int, slots binary").collect():  # the filter: max_bits at most
-        data[b] = np.frombuffer(slots, np.uint8)
-    model.filters[n] = Filter(bits, slice_bits, lowest, data.ravel())
-
-
-SLICE = pa.schema([("bucket", pa.int32()), ("slots", pa.binary())])
-ITEMS = pa.schema([("bucket", pa.int32()), ("hist", pa.list_(pa.int64())), ("total", pa.int64()), ("keys", pa.binary())])
-
-
-def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, max_bits: int = 1 << 26, weight: float = 0.3) -> DataFrame:
+        types = len(np.unique(np.concatenate([C.from_bytes(raw, m, 8) for _, _, m, raw in sent])))
+        return pa.table({"tokens": pa.array([sum(int.from_bytes(raw[-8:], "little") for *_, raw in sent)], pa.int64()), "types": pa.array([types], pa.int64())})
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, C.BLOB_DDL).groupBy("bucket").applyInArrow(add, "tokens long, types long")
+    n, v = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()
+    return int(n), int(v)
+
+
+def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, weight: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train_on`` selects the training rows (null: yes).  ``max_bits`` (a power of two) bounds each order's filter.
+    ``train_on`` selects the training rows (null: yes).
     """
-    if order < 1 or max_bits & (max_bits - 1) or max_bits < 1 << 18:
-        raise ValueError("order must be 1 at least and max_bits a power of two of 2**18 at least")
+    if order < 1:
+        raise ValueError("order must be 1 at least")
     learns = F.coalesce(train_on, F.lit(True))
-    model = train(docs.filter(learns), text_col, order, max_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, size = C.corpus_size(docs, text_col)
-    parts, bits = C.n_parts(rows, size), C.bucket_bits(size // 40)
+    parts, bits = C.n_parts(rows, size), C.bucket_bits(size // 6)
+    n_tokens, n_types = totals(docs.filter(learns), text_col, bits)
     dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), learns.alias("_train"), C.part_of(parts, F.col(id_col), F.col(text_col)).alias("part"))
 
-    def vocabulary(key: tuple, table: pa.Table) -> pa.Table:
+    def count(key: tuple, table: pa.Table) -> pa.Table:
         h, doc, _ = tokens(table["_text"])
-        word, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, weights=table["_train"].to_numpy(zero_copy_only=False)[doc], minlength=len(word)).astype(np.uint64)
-        edges, rows = C.bucket_edges(word, bits), []
-        for b in np.flatnonzero(np.diff(edges)):
-            cut = slice(edges[b], edges[b + 1])
-            rows.append((int(b), key[0].as_py(), 1, int(edges[b + 1] - edges[b]), C.to_bytes(word[cut], 8) + C.to_bytes(c[cut], 4)))
+        train, rows = table["_train"].to_numpy(zero_copy_only=False), []
+        for n in range(1, order + 1):
+            at, k = grams(h, doc, n, bits)
+            k, back = np.unique(k, return_inverse=True)
+            c = np.bincount(back, weights=train[doc[at]], minlength=len(k)).astype(np.uint64)
+            edges = C.bucket_edges(k, bits, 64 if n == 1 else bits + 40)
+            for b in np.flatnonzero(np.diff(edges)):
+                cut = slice(edges[b], edges[b + 1])
+                raw = C.to_bytes(k[cut], KEY_BYTES.get(n, 5)) + C.to_bytes(c[cut], 1 if c[cut].max() < 256 else 4)
+                rows.append((int(b) + ((n - 1) << bits), key[0].as_py(), n, int(edges[b + 1] - edges[b]), raw))
         return C.blob_table(rows)
 
-    def total(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
-        word = np.concatenate([C.from_bytes(raw, n, 8) for _, _, n, raw in sent])
-        c = np.concatenate([C.from_bytes(raw, n, 4, 8 * n) for _, _, n, raw in sent])
-        by = np.argsort(word)
-        begin = C.runs(word[by])
-        back = np.empty(len(c), np.uint64)
-        back[by] = np.add.reduceat(c[by], begin)[C.run_ids(begin, len(c))]
+        n = (sent[0][0] >> bits) + 1
+        wide = KEY_BYTES.get(n, 5)
+        k = np.concatenate([C.from_bytes(raw, m, wide) for _, _, m, raw in sent])
+        c = np.concatenate([C.from_bytes(raw, m, len(raw) // m - wide, wide * m) for _, _, m, raw in sent])
+        by = np.argsort(k)
+        begin = C.runs(k[by])
+        k, total = k[by][begin], np.add.reduceat(c[by], begin)
+        seen = total > 0
+        lowest = 1 if n == 1 else 2  # n-grams of order 2 and above that occur once predict nothing
+        found = Filter(k[seen], np.minimum(level(total[seen]), LEVELS), lowest).levels(k)
+        back = np.empty(len(c), np.int64)
+        back[by] = C.run_ids(begin, len(c))
         rows, at = [], 0
-        for b, part, n, _ in sent:
-            rows.append((b, part, 2, n, C.to_bytes(back[at : at + n], 6)))
-            at += n
+        for b, part, m, _ in sent:
+            own = back[at : at + m]
+            rows.append((b, part, n, m, C.to_bytes(found[own], 1) + (C.to_bytes(total[own], 6) if n == 1 else b"")))
+            at += m
         return C.blob_table(rows)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return OUT.empty_table()
-        m = shared.value
         h, doc, counts = tokens(left["_text"])
-        _, at = np.unique(h, return_inverse=True)
-        c = np.concatenate([C.from_bytes(raw, n, 6) for _, _, n, raw in C.blobs(right)])[at].astype(np.float64)
+        c, starts, exact = [], [], None
+        for n in range(1, order + 1):
+            at, k = grams(h, doc, n, bits)
+            _, back = np.unique(k, return_inverse=True)
+            got = C.blobs(right, n)
+            q = np.concatenate([np.frombuffer(raw, np.uint8, m) for _, _, m, raw in got] or [np.zeros(0, np.uint8)])
+            c.append(ESTIMATE[q][back])
+            starts.append(at)
+            if n == 1:
+                exact = np.concatenate([C.from_bytes(raw, m, 6, m) for _, _, m, raw in got])[back].astype(np.float64)
         sum_of = lambda x: np.add.reduceat(x, np.cumsum(counts) - counts)  # noqa: E731  every text has a token
-        base = sum_of(np.log10((c + 1) / (m.n_tokens + m.n_types + 1)))
-        out = [left["_id"].combine_chunks(), pc_not(left["_train"]), pa.array(counts, pa.int64()), pa.array(sum_of((c > 0).astype(np.int64))), pa.array(np.full(len(counts), m.n_tokens, np.int64)), pa.array(base), pa.array(sum_of(m.log10(h, doc, weight)))]
+        base = sum_of(np.log10((exact + 1) / (n_tokens + n_types + 1)))
+        own = sum_of(log10(c, starts, n_tokens + n_types + 1, weight))
+        out = [left["_id"].combine_chunks(), pc_not(left["_train"]), pa.array(counts, pa.int64()), pa.array(sum_of((exact > 0).astype(np.int64))), pa.array(np.full(len(counts), n_tokens, np.int64)), pa.array(base), pa.array(own)]
         return pa.Table.from_arrays(out, schema=OUT)
 
-    answers = dealt.groupBy("part").applyInArrow(vocabulary, C.BLOB_DDL).groupBy("bucket").applyInArrow(total, C.BLOB_DDL)
+    answers = dealt.groupBy("part").applyInArrow(count, C.BLOB_DDL).groupBy("bucket").applyInArrow(answer, C.BLOB_DDL)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
