@@ -145,6 +145,13 @@ def test_lm_knows_what_it_saw(spark):
     assert out[50] > out[51] + 1 and out[50] == pytest.approx(out[0])
 
 
+def test_lm_learns_from_what_it_saw_once(spark):
+    words = [f"w{i}" for i in range(400)]
+    d = spark.createDataFrame([(0, " ".join(words), True), (1, " ".join(words), False), (2, " ".join(words[::-1]), False)], "doc_id long, text string, t boolean")
+    out = {r.doc_id: r.score for r in lm_score(d, F.col("t")).collect()}
+    assert out[1] == pytest.approx(out[0]) and out[1] > out[2] + 100
+
+
 def test_lm_without_training(docs, empty, rows):
     assert {r.train_tokens for r in lm_score(docs, F.lit(False)).collect()} == {0}
     assert lm_score(empty, F.lit(True)).count() == 0

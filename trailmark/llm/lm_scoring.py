@@ -32,7 +32,9 @@ END = C.mix(np.array([0x5EED], np.uint64))[0]
 LEVELS = 96
 #: Bits of a filter for each entry, and probes for each.
 BITS_EACH, PROBES = 8, 5
-KEY_BYTES = {1: 8}
+#: Bits of a key of order 2 and above below those of its bucket: with BUCKET_KEYS keys in a bucket an n-gram is taken
+#: for another with a chance of 2^-12, where a filter of BITS_EACH bits errs with 2 %.
+KEY_BITS = 32
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -66,14 +68,14 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Filter:
     """A Bloom filter over (n-gram, level) for the n-grams of one bucket, sized by its entries."""
 
-    def __init__(self, key: np.ndarray, q: np.ndarray, lowest: int = 1):
-        """Hold each key for the levels from lowest to its own."""
+    def __init__(self, key: np.ndarray, q: np.ndarray):
+        """Hold each key for the levels from 1 to its own."""
         by = np.argsort(-q, kind="stable")
         key, q = key[by], q[by]
-        entries = int(np.maximum(q - lowest + 1, 0).sum())
+        entries = int(q.sum())
         self.bits = 1 << max(10, math.ceil(math.log2(max(1, entries * BITS_EACH))))
-        self.lowest, slots = lowest, np.zeros(self.bits, bool)
-        for at in range(lowest, int(q.max(initial=0)) + 1):
+        slots = np.zeros(self.bits, bool)
+        for at in range(1, int(q.max(initial=0)) + 1):
             held = key[: int(np.searchsorted(-q, -at, "right"))]
             for i in range(PROBES):
                 slots[self.places(held, at, i)] = True
@@ -86,7 +88,7 @@ class Filter:
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 where the filter has none; probes go on while they succeed."""
-        found, live, q = np.zeros(len(key), np.int64), np.arange(len(key)), self.lowest
+        found, live, q = np.zeros(len(key), np.int64), np.arange(len(key)), 1
         while len(live) and q <= LEVELS:
             for i in range(PROBES):
                 p = self.places(key[live], q, i)
@@ -97,11 +99,23 @@ class Filter:
 
 
 def grams(h: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, key) of each n-gram inside one text; of order 2 and above the bucket and 40 more bits are kept."""
+    """(first token, key) of each n-gram inside one text; of order 2 and above the bucket and KEY_BITS are kept."""
     if n == 1:
         return np.arange(len(h)), h
     at, key = C.word_ngrams(h, doc, n)
-    return at, key >> np.uint64(64 - bits - 40)
+    return at, key >> np.uint64(64 - bits - KEY_BITS)
+
+
+def pack(key: np.ndarray, c: np.ndarray) -> bytes:
+    """Ascending keys as the gaps between them, and their counts; both as wide as the largest needs."""
+    gap = np.diff(key, prepend=np.uint64(0))
+    wide = lambda x: max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([wide(gap)]) + C.to_bytes(gap, wide(gap)) + C.to_bytes(c, wide(c))
+
+
+def unpack(raw: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = raw[0]
+    return np.cumsum(C.from_bytes(raw, m, wide, 1), dtype=np.uint64), C.from_bytes(raw, m, (len(raw) - 1) // m - wide, 1 + wide * m)
 
 
 def log10(c: list[np.ndarray], at: list[np.ndarray], size: int, weight: float) -> np.ndarray:
@@ -119,29 +133,6 @@ def log10(c: list[np.ndarray], at: list[np.ndarray], size: int, weight: float) -
     return np.log10(p)
 
 
-def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
-    """(tokens, distinct tokens) of docs, counted exactly in buckets."""
-
-    def count(batches):
-        for batch in batches:
-            for t in C.slices(batch):
-                word, c = np.unique(tokens(t["text"])[0], return_counts=True)
-                edges, rows = C.bucket_edges(word, bits), []
-                for b in np.flatnonzero(np.diff(edges)):
-                    cut = slice(edges[b], edges[b + 1])
-                    rows.append((int(b), -1, 1, int(edges[b + 1] - edges[b]), C.to_bytes(word[cut], 8) + int(c[cut].sum()).to_bytes(8, "little")))
-                yield from C.blob_table(rows).to_batches()
-
-    def add(table: pa.Table) -> pa.Table:
-        sent = C.blobs(table)
-        types = len(np.unique(np.concatenate([C.from_bytes(raw, m, 8) for _, _, m, raw in sent])))
-        return pa.table({"tokens": pa.array([sum(int.from_bytes(raw[-8:], "little") for *_, raw in sent)], pa.int64()), "types": pa.array([types], pa.int64())})
-
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, C.BLOB_DDL).groupBy("bucket").applyInArrow(add, "tokens long, types long")
-    n, v = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()
-    return int(n), int(v)
-
-
 def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, weight: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -152,7 +143,6 @@ def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
     learns = F.coalesce(train_on, F.lit(True))
     rows, size = C.corpus_size(docs, text_col)
     parts, bits = C.n_parts(rows, size), C.bucket_bits(size // 6)
-    n_tokens, n_types = totals(docs.filter(learns), text_col, bits)
     dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), learns.alias("_train"), C.part_of(parts, F.col(id_col), F.col(text_col)).alias("part"))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
@@ -162,32 +152,36 @@ def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
             at, k = grams(h, doc, n, bits)
             k, back = np.unique(k, return_inverse=True)
             c = np.bincount(back, weights=train[doc[at]], minlength=len(k)).astype(np.uint64)
-            edges = C.bucket_edges(k, bits, 64 if n == 1 else bits + 40)
+            kept = 64 if n == 1 else bits + KEY_BITS
+            edges = C.bucket_edges(k, bits, kept)
             for b in np.flatnonzero(np.diff(edges)):
                 cut = slice(edges[b], edges[b + 1])
-                raw = C.to_bytes(k[cut], KEY_BYTES.get(n, 5)) + C.to_bytes(c[cut], 1 if c[cut].max() < 256 else 4)
-                rows.append((int(b) + ((n - 1) << bits), key[0].as_py(), n, int(edges[b + 1] - edges[b]), raw))
+                inside = k[cut] - (np.uint64(b) << np.uint64(kept - bits))
+                rows.append((int(b) + ((n - 1) << bits), key[0].as_py(), n, len(inside), pack(inside, c[cut])))
         return C.blob_table(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
         n = (sent[0][0] >> bits) + 1
-        wide = KEY_BYTES.get(n, 5)
-        k = np.concatenate([C.from_bytes(raw, m, wide) for _, _, m, raw in sent])
-        c = np.concatenate([C.from_bytes(raw, m, len(raw) // m - wide, wide * m) for _, _, m, raw in sent])
+        k, c = (np.concatenate(x) for x in zip(*(unpack(raw, m) for _, _, m, raw in sent), strict=True))
         by = np.argsort(k)
         begin = C.runs(k[by])
         k, total = k[by][begin], np.add.reduceat(c[by], begin)
         seen = total > 0
-        lowest = 1 if n == 1 else 2  # n-grams of order 2 and above that occur once predict nothing
-        found = Filter(k[seen], np.minimum(level(total[seen]), LEVELS), lowest).levels(k)
+        found = Filter(k[seen], np.minimum(level(total[seen]), LEVELS)).levels(k)
         back = np.empty(len(c), np.int64)
         back[by] = C.run_ids(begin, len(c))
+        # All parts get the training tokens and distinct tokens of a bucket of single tokens.
+        tail = C.to_bytes(np.array([total.sum(), seen.sum()], np.uint64), 8) if n == 1 else b""
         rows, at = [], 0
         for b, part, m, _ in sent:
             own = back[at : at + m]
-            rows.append((b, part, n, m, C.to_bytes(found[own], 1) + (C.to_bytes(total[own], 6) if n == 1 else b"")))
+            raw = C.to_bytes(found[own], 1) + (C.to_bytes(total[own], 6) if n == 1 else b"") + tail
+            rows.append((b, part, n, m, pa.compress(raw, "zstd", asbytes=True)))
             at += m
+        if n == 1:
+            has = {part for _, part, *_ in sent}
+            rows += [(sent[0][0], part, n, 0, pa.compress(tail, "zstd", asbytes=True)) for part in range(parts) if part not in has]
         return C.blob_table(rows)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -198,11 +192,12 @@ def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
         for n in range(1, order + 1):
             at, k = grams(h, doc, n, bits)
             _, back = np.unique(k, return_inverse=True)
-            got = C.blobs(right, n)
+            got = [(b, part, m, pa.decompress(raw, m * 7 + 16 if n == 1 else m, "zstd", asbytes=True)) for b, part, m, raw in C.blobs(right, n)]
             q = np.concatenate([np.frombuffer(raw, np.uint8, m) for _, _, m, raw in got] or [np.zeros(0, np.uint8)])
             c.append(ESTIMATE[q][back])
             starts.append(at)
             if n == 1:
+                n_tokens, n_types = np.sum([C.from_bytes(raw, 2, 8, 7 * m) for _, _, m, raw in got], axis=0).tolist()
                 exact = np.concatenate([C.from_bytes(raw, m, 6, m) for _, _, m, raw in got])[back].astype(np.float64)
         sum_of = lambda x: np.add.reduceat(x, np.cumsum(counts) - counts)  # noqa: E731  every text has a token
         base = sum_of(np.log10((exact + 1) / (n_tokens + n_types + 1)))
