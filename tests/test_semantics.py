@@ -20,6 +20,7 @@ from trailmark.operators import prototypes as pt
 from trailmark.operators import retrieval as rt
 from trailmark.operators import spatial as sp
 from trailmark.operators import states as st
+from trailmark.plans import prototypes
 from trailmark.schema import require_columns, require_unique, resolve_column
 from trailmark.sources import files
 from trailmark.streaming.sessions import live_sessions
@@ -253,6 +254,23 @@ def test_mixture_learns_and_scores(spark):
     assert routed[1].prototype_id is None and not routed[1].routing_applied and routed[5].prototype_id is not None
 
 
+def test_session_vectors_tell_categories_apart(spark):
+    """Sessions alike in time and space differ by what they visited; unseen categories give zeros, and none is lost."""
+    visits = [["Cafe", "Park", "Gym"], ["Bar", "Club", "Bar"], ["Cafe", "Gym", "Park"], ["Cafe", "Park", "Gym"]]
+    row = lambda s, i, c: (s, s * 10 + i, str(i), c, 40.7 + 0.01 * i, -74.0, T0 + dt.timedelta(hours=9 + i))
+    schema = "SessionId long, event_id long, PId string, Category string, Latitude double, Longitude double, Time timestamp"
+    train = spark.createDataFrame([row(s, i, c) for s, v in enumerate(visits) for i, c in enumerate(v)], schema)
+    vectors, duration, categories = prototypes.session_vectors(train)
+    got = {r.SessionId: np.array(r.features) for r in vectors.collect()}
+    k = len(categories.axes[0][1])
+    assert all(len(v) == 9 + k for v in got.values())
+    assert got[0] == pytest.approx(got[3]) and np.linalg.norm(got[0] - got[1]) > 1
+    assert all(np.linalg.norm(v[6 : 6 + k]) == pytest.approx(1) for v in got.values())
+    asked = spark.createDataFrame([row(7, i, "Zoo") for i in range(3)] + [row(8, i, c) for i, c in enumerate(visits[1])], schema)
+    new = {r.SessionId: np.array(r.features) for r in prototypes.session_vectors(asked, duration, categories=categories)[0].collect()}
+    assert not new[7][6 : 6 + k].any() and new[8][6 : 6 + k] == pytest.approx(got[1][6 : 6 + k])
+
+
 def test_answers(spark):
     texts = ['{"selected_poi_id": "7"}', '```json\n{"selected_poi_id": 7}\n```', '{"selected_poi_id": " 07 "}', '{"selected_poi_id": "", "ranking": [{"poi_id": "b"}]}', '{"selected_poi_id": "zz"}', "not json", "[1]", None]
     rows = spark.createDataFrame([(i, t, ["a", "b", "7"]) for i, t in enumerate(texts)] + [(99, '{"selected_poi_id": "a"}', [])], "i int, llm_raw_text string, fallback_ids array<string>")

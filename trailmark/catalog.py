@@ -704,7 +704,9 @@ def case_labels(spark, d):
 def cases_ranked(spark, d):
     """Pair features, a perceptron trained on them, and the best candidate sessions of each query."""
     rows, pairs = _candidate_pairs(spark, d)
-    features, _ = prototypes.session_vectors(op.partial_sessions(rows))
+    partial = op.held(op.partial_sessions(rows))
+    categories = ft.Categories.fit(op.held(prototypes.category_documents(partial.filter("SessionId % 3 <> 0"))))
+    features, *_ = prototypes.session_vectors(partial, categories=categories)
     last = op.held(cs.last_stops(rows))
     labelled = op.held(cs.pair_features(cs.with_labels(pairs, last), features))
     size = labelled.select(F.size("pair_features")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.geo import haversine_km
 from ..functions.timefn import is_weekend, part_of_day, seconds_between
-from .preprocess import order_of
+from .preprocess import held, order_of
 
 PARTS = ("morning", "afternoon", "evening", "late_night")
 
@@ -106,27 +108,62 @@ def tfidf(rows: DataFrame, idf: DataFrame) -> DataFrame:
     return w.select("SessionId", "term", (F.col("_w") / size).alias("weight"))
 
 
-def truncated_svd(weights: DataFrame, components: int = 64) -> tuple[DataFrame, list[float]]:
-    """(SessionId, dense vector of length 1) from the leading right singular vectors of the term matrix, and the
-    singular values.  The right vectors (terms times components) are the broadcast model; it needs a vocabulary of
-    category terms, whose size does not grow with the sessions."""
+def right_vectors(weights: DataFrame, components: int = 64) -> tuple[list[tuple[str, list[float]]], list[float]]:
+    """The part of each term in the leading right singular vectors of the term matrix, and the singular values.  The
+    right vectors (terms times components) are the broadcast model; it needs a vocabulary of category terms, whose
+    size does not grow with the sessions."""
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     vocabulary = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(20_001).collect()]
     if len(vocabulary) > 20_000:
         raise ValueError("more than 20,000 terms: keep the sparse weights")
-    index = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)]) if vocabulary else None
+    if not vocabulary:
+        return [], []
+    index = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)])
     rows = weights.withColumn("_i", F.try_element_at(index, F.col("term"))).groupBy("SessionId").agg(F.sort_array(F.collect_list(F.struct("_i", "weight"))).alias("_x"))
     n = rows.count()
     k = max(1, min(components, n - 1, len(vocabulary) - 1))
     matrix = RowMatrix(rows.select("_x").rdd.map(lambda r: Vectors.sparse(len(vocabulary), [(int(i), float(w)) for i, w in r[0]])))
     found = matrix.computeSVD(k)
     v = found.V.toArray()
-    table = weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(vocabulary)], "term string, axis array<double>")
+    return [(t, v[i].tolist()) for i, t in enumerate(vocabulary)], [float(s) for s in found.s]
+
+
+def project(weights: DataFrame, axes: list[tuple[str, list[float]]]) -> DataFrame:
+    """(SessionId, category_dense): the weights along the axes, of length 1."""
+    table = weights.sparkSession.createDataFrame(axes, "term string, axis array<double>")
     parts = weights.join(F.broadcast(table), "term").select("SessionId", F.posexplode(F.transform("axis", lambda a: a * F.col("weight"))))
     dense = parts.groupBy("SessionId", "pos").agg(F.sum("col").alias("x")).groupBy("SessionId").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_x"))
-    return dense.select("SessionId", vec.unit(F.transform("_x", lambda s: s["x"])).alias("category_dense")), [float(s) for s in found.s]
+    return dense.select("SessionId", vec.unit(F.transform("_x", lambda s: s["x"])).alias("category_dense"))
+
+
+def truncated_svd(weights: DataFrame, components: int = 64) -> tuple[DataFrame, list[float]]:
+    """(SessionId, dense vector of length 1) and the singular values."""
+    axes, values = right_vectors(weights, components)
+    return project(weights, axes), values
+
+
+@dataclass
+class Categories:
+    """Inverse frequencies and axes of the terms of the training sessions."""
+
+    idf: list[tuple[str, float]]
+    axes: list[tuple[str, list[float]]]
+
+    @staticmethod
+    def fit(documents: DataFrame, components: int = 64) -> Categories:
+        found = held(terms(documents))
+        idf = held(inverse_frequencies(found, documents.count()))
+        axes, _ = right_vectors(held(tfidf(found, idf)), components)
+        return Categories([tuple(r) for r in idf.collect()], axes)  # a row a term, as many as right_vectors allows
+
+    def transform(self, documents: DataFrame) -> DataFrame:
+        """(SessionId, category_dense) of every document; zeros where no term is known."""
+        idf = documents.sparkSession.createDataFrame(self.idf, "term string, idf double")
+        dense = project(tfidf(terms(documents), F.broadcast(idf)), self.axes)
+        zeros = F.array(*[F.lit(0.0)] * (len(self.axes[0][1]) if self.axes else 0)).cast("array<double>")
+        return documents.select("SessionId").join(dense, "SessionId", "left").withColumn("category_dense", F.coalesce("category_dense", zeros))
 
 
 def assemble(temporal: DataFrame, spatial: DataFrame, dense: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PrototypeConfig, SpatialConfig
+from ..functions import text as tx
 from ..functions.geo import cell_id
 from ..operators import features as ft
 from ..operators import preprocess as op
@@ -19,28 +20,37 @@ class Frozen:
     """All that prefixes are transformed with: fitted on training sessions once."""
 
     duration: tuple[float, float]
+    categories: ft.Categories
     mixture: pt.Mixture
     selection: list[dict]
     resolution: int
 
 
-def session_vectors(checkins: DataFrame, duration: tuple[float, float] | None = None, resolution: int = SpatialConfig.coarse_resolution) -> tuple[DataFrame, tuple[float, float]]:
+def category_documents(checkins: DataFrame) -> DataFrame:
+    """Documents of raw categories without absorption, which need no taxonomy."""
+    return ft.category_documents(checkins, tx.taxonomy(checkins.sparkSession, []))
+
+
+def session_vectors(checkins: DataFrame, duration: tuple[float, float] | None = None, resolution: int = SpatialConfig.coarse_resolution, categories: ft.Categories | None = None) -> tuple[DataFrame, tuple[float, float], ft.Categories]:
+    """Vectors of time, categories and space; what isn't given is fitted on checkins, and returned."""
     temporal = ft.temporal_features(checkins)
     duration = duration or ft.duration_scale(temporal)
     spatial = op.held(ft.spatial_features(checkins, cell_id("Latitude", "Longitude", resolution)))
-    return ft.assemble(ft.scaled_duration(temporal, duration), spatial), duration
+    documents = op.held(category_documents(checkins))
+    categories = categories or ft.Categories.fit(documents)
+    return ft.assemble(ft.scaled_duration(temporal, duration), spatial, categories.transform(documents)), duration, categories
 
 
 def fit(train: DataFrame, cfg: PrototypeConfig = PrototypeConfig(), validation: DataFrame | None = None) -> tuple[Frozen, DataFrame]:
     """(frozen parts, assignments of the training sessions)."""
-    vectors, duration = session_vectors(train)
+    vectors, duration, categories = session_vectors(train)
     vectors = op.held(vectors)
-    held_out = session_vectors(validation, duration)[0] if validation is not None else None
+    held_out = session_vectors(validation, duration, categories=categories)[0] if validation is not None else None
     mixture, table = pt.select_mixture(vectors, held_out, cfg)
-    return Frozen(duration, mixture, table, SpatialConfig.coarse_resolution), pt.top_prototypes(pt.posteriors(vectors, mixture), cfg.top_m)
+    return Frozen(duration, categories, mixture, table, SpatialConfig.coarse_resolution), pt.top_prototypes(pt.posteriors(vectors, mixture), cfg.top_m)
 
 
 def route(frozen: Frozen, prefixes: DataFrame, cfg: PrototypeConfig = PrototypeConfig()) -> DataFrame:
-    vectors, _ = session_vectors(prefixes, frozen.duration, frozen.resolution)
+    vectors, *_ = session_vectors(prefixes, frozen.duration, frozen.resolution, frozen.categories)
     sizes = prefixes.groupBy("SessionId").agg(F.count(F.lit(1)).alias("_size"))
     return pt.route(vectors.join(sizes, "SessionId"), frozen.mixture, F.col("_size"), cfg)
