@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from trailmark import catalog
+from trailmark.config import PrototypeConfig
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,3 +42,25 @@ def test_against_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", ["retrieval_two_stages", "candidate_places", "hit_at_1", "case_dataset"])
 def test_runs_without_oracle(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_all_held_out_sessions_ask(spark):
+    held_out = {r.SessionId for r in catalog._sessions(spark, FOLDER, catalog.DAY).filter("SessionId % 3 = 0").select("SessionId").distinct().collect()}
+    asked = lambda name, key: {r[0] for r in catalog.queries()[name](spark, FOLDER).select(key).distinct().collect()}
+    assert asked("next_place_predictions", "SessionId") == held_out
+    assert asked("case_dataset", "query_session_id") <= held_out and any(s % 10 for s in asked("case_dataset", "query_session_id"))
+    assert any(s % 5 for s in asked("retrieval_two_stages", "query"))
+
+
+@pytest.mark.parametrize("name", ["prototypes_assigned", "prefixes_routed"])
+def test_prototypes_are_searched_by_default_settings(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def fit(train, cfg=PrototypeConfig(), validation=None):
+        assert cfg == PrototypeConfig()
+        raise Seen
+
+    monkeypatch.setattr(catalog.prototypes, "fit", fit)
+    with pytest.raises(Seen):
+        catalog.queries()[name](spark, FOLDER)

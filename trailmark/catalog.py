@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CanonicalConfig, PrototypeConfig, RetrievalConfig, Settings, SpatialConfig
+from .config import CanonicalConfig, RetrievalConfig, Settings, SpatialConfig
 from .functions import geo
 from .functions import text as tx
 from .functions import timefn as tf
@@ -403,17 +403,15 @@ def category_svd(spark, d):
 @query()
 def prototypes_assigned(spark, d):
     """Mixture chosen by BIC over the session vectors, with the best three prototypes of each session."""
-    cfg = PrototypeConfig(components=(4, 6), n_init=2, max_iter=12)
-    frozen, assigned = prototypes.fit(_sessions(spark, d, DAY), cfg)
+    _, assigned = prototypes.fit(_sessions(spark, d, DAY))
     return assigned.drop("probability")
 
 
 @query()
 def prefixes_routed(spark, d):
-    cfg = PrototypeConfig(components=(4,), covariances=("diag",), n_init=1, max_iter=8)
     rows = op.held(_sessions(spark, d, DAY))
-    frozen, _ = prototypes.fit(rows, cfg)
-    return prototypes.route(frozen, op.partial_sessions(rows), cfg).drop("probability")
+    frozen, _ = prototypes.fit(rows)
+    return prototypes.route(frozen, op.partial_sessions(rows)).drop("probability")
 
 
 # ------------------------------------------------------------------ space
@@ -575,9 +573,13 @@ r0 AS (SELECT q.SessionId AS query, c.SessionId AS case_session, c.decision_inde
 r1 AS (SELECT *, 0.3 * spatial_score + 0.7 * cosine_score AS retrieval_score FROM r0), rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(retrieval_score, 9) DESC, case_session, case_index) AS rank FROM r1) WHERE rank <= 5)"""
 
 
-def _retrieved(spark, d, **how) -> DataFrame:
+#: The sessions that ask; the others are the cases.
+HELD_OUT = "SessionId % 3 = 0"
+
+
+def _retrieved(spark, d, asking: str = HELD_OUT, **how) -> DataFrame:
     states, cases, encoder = _encoded(spark, d)
-    last = states.filter("SessionId % 3 = 0 and SessionId % 5 = 0")
+    last = states.filter(asking)
     last = last.join(last.groupBy("SessionId").agg(F.max("decision_index").alias("decision_index")), ["SessionId", "decision_index"], "left_semi")
     from .functions.vectors import unit
 
@@ -587,7 +589,8 @@ def _retrieved(spark, d, **how) -> DataFrame:
 
 @query(f"{_ST}, {_RETR} SELECT query, CAST(rank AS INT) AS rank, round(retrieval_score, 5) AS retrieval_score FROM rr")
 def retrieval_top_k(spark, d):
-    return _retrieved(spark, d).select("query", "rank", F.round("retrieval_score", 5).alias("retrieval_score"))
+    """A fifth of the held-out sessions, as its oracle asks."""
+    return _retrieved(spark, d, f"{HELD_OUT} and SessionId % 5 = 0").select("query", "rank", F.round("retrieval_score", 5).alias("retrieval_score"))
 
 
 @query()
@@ -629,7 +632,7 @@ SETTINGS = Settings(spatial=PAIRS, retrieval=RetrievalConfig(top_k_cases=5, top_
 def _evaluation(spark, d) -> DataFrame:
     rows = op.held(_sessions(spark, d, DAY))
     assets = next_place.build_assets(rows.filter("SessionId % 3 <> 0"), fx.places(spark, d), fx.nodes(spark), fx.edges(spark), fx.place_meta(spark), settings=SETTINGS)
-    return next_place.evaluate(assets, rows.filter("SessionId % 15 = 0"))
+    return next_place.evaluate(assets, rows.filter(HELD_OUT))
 
 
 @query()
@@ -682,21 +685,25 @@ qs AS (SELECT SessionId, m, CASE m WHEN 0 THEN SessionId % 7 WHEN 1 THEN (Sessio
 cd AS (SELECT qs.SessionId AS query_session, pool.SessionId AS candidate_session, min(m * 1000 + r) AS o FROM qs JOIN pool ON qs.p = pool.p AND pool.r <= 50 WHERE qs.SessionId <> pool.SessionId GROUP BY ALL)"""
 
 
-def _candidate_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+#: Whom the oracles of case_candidates and case_labels ask with.
+ORACLE_ASKS = "SessionId % 10 = 0"
+
+
+def _candidate_pairs(spark, d, asking: str = HELD_OUT) -> tuple[DataFrame, DataFrame]:
     rows = op.held(_sessions(spark, d, DAY))
     a = _assigned(rows)
-    return rows, cs.candidate_sessions(a.filter("SessionId % 10 = 0"), a.filter("SessionId % 3 <> 0"))
+    return rows, cs.candidate_sessions(a.filter(asking), a.filter("SessionId % 3 <> 0"))
 
 
 @query(f"{_DD}, {_CAND} SELECT query_session, candidate_session, CAST(row_number() OVER (PARTITION BY query_session ORDER BY o) AS INT) AS place FROM cd")
 def case_candidates(spark, d):
-    return _candidate_pairs(spark, d)[1].select("query_session", "candidate_session", "place")
+    return _candidate_pairs(spark, d, ORACLE_ASKS)[1].select("query_session", "candidate_session", "place")
 
 
 @query(f"""{_DD}, {_CAND}, la AS (SELECT SessionId, arg_max(Category, {{'t': Time, 'p': PId, 'e': event_id}}) AS c, arg_max(Latitude, {{'t': Time, 'p': PId, 'e': event_id}}) AS a, arg_max(Longitude, {{'t': Time, 'p': PId, 'e': event_id}}) AS o FROM ss GROUP BY SessionId)
 SELECT query_session, candidate_session, CASE WHEN q.c = k.c OR {_km('q.a', 'q.o', 'k.a', 'k.o', radius='6371.0')} <= 1.0 THEN 1 ELSE 0 END AS label FROM cd JOIN la q ON q.SessionId = query_session JOIN la k ON k.SessionId = candidate_session""")
 def case_labels(spark, d):
-    rows, pairs = _candidate_pairs(spark, d)
+    rows, pairs = _candidate_pairs(spark, d, ORACLE_ASKS)
     return cs.with_labels(pairs, cs.last_stops(rows)).select("query_session", "candidate_session", "label")
 
 
