@@ -84,6 +84,15 @@ def test_jaccard_links_are_all_links(docs, rows):
     assert got == want and want
 
 
+def test_jaccard_long_lists_of_two_are_compared(spark):
+    """Two sets of a dealt list may have been in different buckets, so nobody has paired them."""
+    s = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    lists = spark.createDataFrame([(7, 1), (7, 2)], "x long, y long")
+    classes = spark.createDataFrame([(i, 20, bytes(jaccard_join.signature(s))) for i in (1, 2)], "set_id long, n int, sig binary")
+    alone = spark.createDataFrame([], "node long, component long")
+    assert [tuple(sorted(r[:2])) for r in jaccard_join._across(lists, classes, alone, 80, True).collect()] == [(1, 2)]
+
+
 def test_jaccard_empty(empty):
     assert jaccard_components(empty).count() == 0
 

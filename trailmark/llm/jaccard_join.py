@@ -253,7 +253,7 @@ def _across(lists: DataFrame, classes: DataFrame, component: DataFrame, percent:
     """Pairs that share a list, lie in different components (or anywhere) and may link."""
     rows = lists.join(component.withColumnRenamed("node", "y"), "y", "left").withColumn("component", F.coalesce("component", "y"))
     mixed = rows.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.filter("m > 2" if complete else "lo <> hi").select("x", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"))
+    mixed = mixed.filter("m > 1" if complete else "lo <> hi").select("x", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")
     dealt = rows.join(mixed, "x").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
