@@ -19,6 +19,7 @@ def library():
 
 
 EXTRA = [(900, "  a  b\n\tc   "), (901, "x" * 300 + " " * 90 + "y日本語\U0001f600é▁q"), (902, " "), (903, "Hello world, hello internationalization!"), (904, "a" * 62 + " " + "b" * 63), (905, "\x00\r\n")]
+EXTRA += [(906 + x, "".join("ab"[(i.bit_count() + x) & 1] for i in range(1024))) for x in (0, 1)]  # one hash, if weak
 
 
 def test_bpe_ids_are_the_librarys(spark, library):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import _chunks, jaccard_join
+from trailmark.llm import _chunks, components, jaccard_join
 from trailmark.llm.components import connected_components
 from trailmark.llm.jaccard_join import jaccard_components, jaccard_links
 from trailmark.llm.language_id import language_id
@@ -59,14 +59,16 @@ def test_substring_dedup_empty(empty):
         substring_dedup(empty, window=1)
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_jaccard_components(docs, rows, salted, monkeypatch):
+@pytest.mark.parametrize("salted, id_bits", [(False, 64), (True, 64), (False, 8)])
+def test_jaccard_components(docs, rows, salted, id_bits, monkeypatch):
+    """With ids of 8 bits many sets share an id first."""
     if salted:
+        monkeypatch.setattr(components, "FEW_ROWS", 1)
         monkeypatch.setattr(jaccard_join, "HOT_LIST", 3)
         monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
     least = cases.components(rows)
     want = [(r[0], len(cases.shingles(r[1])), least.get(cases.shingles(r[1]), r[0])) for r in rows]
-    got = [tuple(r) for r in jaccard_components(docs).collect()]
+    got = [tuple(r) for r in jaccard_components(docs, id_bits=id_bits).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
@@ -256,3 +258,63 @@ def test_language_held_out_accuracy(spark):
     out = language_id(d, bucket(4) != 2).filter("held_out").join(d.select("doc_id", "lang"), "doc_id")
     n, right = out.agg(F.count(F.lit(1)), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
     assert n > 100 and right / n > 0.97
+
+
+def twins(n: int) -> tuple[str, str]:
+    """Two words of n letters that a polynomial hash modulo a power of two takes for one."""
+    return tuple("".join("ab"[(i.bit_count() + x) & 1] for i in range(n)) for x in (0, 1))
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_that_weak_hashes_confuse(spark, n):
+    a, b = twins(n)
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*rest[:6], w, *rest[6:]]), None, None, None) for i, w in ((1, a), (2, b))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup(d).collect()} == {(1, 0), (2, 0)}
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(d).collect()} == {(1, 1), (2, 2)}
+    out = {r.doc_id: r for r in lm_score(d, F.col("doc_id") == 1).collect()}
+    assert out[1].n_known == 14 and out[2].n_known == 13
+
+
+def test_hashes_tell_ranges_apart():
+    """Words that differ in one byte, in length, in order or by zero bytes, and the copies of each."""
+    rng = np.random.default_rng(2)
+    base = [bytes(rng.integers(33, 127, n, dtype=np.uint8)) for n in (1, 7, 8, 9, 16, 17, 255, 256, 257, 300) for _ in range(3)]
+    words = set(base)
+    for w in base:
+        words |= {w[:k] + bytes([w[k] ^ 1]) + w[k + 1 :] for k in range(len(w))} | {w + b"x", w[::-1], w + b"\0", b"\0" + w}
+    words = list(words) * 2
+    ends = np.cumsum([len(w) for w in words])
+    for h in _chunks.range_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, 2):
+        assert len(np.unique(h)) == len(words) // 2 and (h[: len(words) // 2] == h[len(words) // 2 :]).all()
+
+
+def test_hashes_of_runs_of_words():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 40, dtype=np.uint64)
+    h = np.concatenate((h, h, h[::-1]))
+    for n in (1, 2, 3, 5, 7, 13):
+        at, got = _chunks.word_ngrams(h, np.repeat([0, 1], 60), n)
+        assert at.tolist() == [*range(61 - n), *range(60, 121 - n)]
+        seen = {}
+        for i, x in zip(at.tolist(), got.tolist(), strict=True):
+            assert seen.setdefault(tuple(h[i : i + n].tolist()), x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_components_need_enough_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        connected_components(links, max_rounds=1)
+
+
+def test_one_row_repeated_very_often(spark):
+    """100,000 equal rows are dealt over the parts of all input partitions."""
+    n = 100_000
+    d = spark.range(0, n, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three four five six seven").alias("text"))
+    parts = d.select(_chunks.part_of(50, F.col("doc_id"), F.col("text")).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts <= n / 2
+    out = lm_score(d, F.lit(True)).agg(F.count(F.lit(1)), F.min("train_tokens"), F.min("n_known")).first()
+    assert tuple(out) == (n, 8 * n, 8)
+    assert substring_dedup(d, window=3).agg(F.sum("n_removed")).first()[0] == 0
+    assert jaccard_components(d).agg(F.count(F.lit(1)), F.min("component_id"), F.max("component_id")).first() == (n, 7, 7)

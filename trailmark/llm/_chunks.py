@@ -19,6 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,35 +34,26 @@ BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Ranges of more bytes are hashed one by one.
+LONG_RANGE = 256
+#: Odd factors of the left and right half of a run of words; they differ by 2 modulo 4.
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 _libc = ctypes.CDLL(None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finish 64-bit hashes so that every bit depends on all bits."""
+    """Finish 64-bit hashes so that every bit depends on all bits; no two inputs have one output."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n + 1:
-        for name, base in (("up", _MULT), ("down", _INV)):
-            t = np.full(n + 1, base, np.uint64)
-            t[0] = 1
-            _powers[name] = np.multiply.accumulate(t)
-    return _powers["up"], _powers["down"]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +72,8 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of many texts: byte ranges, hashes, and which text each belongs to."""
 
-    def __init__(self, texts, fold: bool = False, hashes: bool = True):
+    def __init__(self, texts, fold: bool = False, two: bool = False):
+        """With ``two`` there is a second hash of each word, ``hash2``, which depends on the first no more than chance."""
         trim()  # what the chunk before has left
         self.data, self.offs = text_bytes(texts)
         n = len(self.data)
@@ -98,40 +91,65 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offs)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        if hashes:
-            self.hash = range_hashes(self.data, self.starts, self.ends, _FOLDED if fold else _BYTE)
+        found = range_hashes(_FOLD[self.data] if fold else self.data, self.starts, self.ends, 2 if two else 1)
+        self.hash, self.hash2 = found[0], found[-1]
+        self._joined: dict[bool, dict[int, np.ndarray]] = {False: {}, True: {}}
 
-    def ngrams(self, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every run of n words inside one text."""
-        return word_ngrams(self.hash, self.doc, n, salt)
+    def ngrams(self, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of every run of n words inside one text; ``second``: from the second hashes."""
+        return word_ngrams(self.hash2 if second else self.hash, self.doc, n, self._joined[second])
 
 
-def word_ngrams(h: np.ndarray, doc: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_ngrams(h: np.ndarray, doc: np.ndarray, n: int, joined: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of n words, put together from runs of 1, 2, 4, ... words, which ``joined`` keeps for the next n."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = np.uint64((0xD6E8FEB86659FD93 + 2 * salt * 0x632BE5AB1) & ((1 << 64) - 1) | 1)
-    acc = h[:m].copy()
-    for k in range(1, n):
-        acc *= c
-        acc += h[k : k + m]
+    joined = {} if joined is None else joined
+    joined[1] = h
+    size = 1
+    while 2 * size <= n:
+        if 2 * size not in joined:
+            half = joined[size]
+            joined[2 * size] = mix(half[:-size] * _LEFT + half[size:] * _RIGHT)
+        size *= 2
+    acc, at = joined[size][:m], size
+    while at < n:
+        while size > n - at:
+            size //= 2
+        acc = mix(acc * _LEFT + joined[size][at : at + m] * _RIGHT)
+        at += size
     at = np.flatnonzero(doc[:m] == doc[n - 1 : n - 1 + m])
-    return at, mix(acc[at] ^ np.uint64(n + (salt << 8)))
-
-
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hashes of disjoint ascending byte ranges."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        up, down = _power_tables(max(BLOCK, int(hi - lo)))
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        i = j
+    return at, mix(acc[at] ^ np.uint64(n))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
+    """One or two 64-bit hashes of byte ranges.
+
+    A range is read eight bytes at a time, and each step mixes all that came before, so ranges up to eight bytes never
+    share a hash with others of their length, and longer ones by chance only (2^-64; 2^-128 for both hashes).
+    """
+    size = ends - starts
+    out = [mix(size.astype(np.uint64) * _LEFT + np.uint64(s)) for s in _SEEDS[:hashes]]
+    if not len(starts):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    keep = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    lane = lanes[starts] & keep[np.minimum(size, 8)]
+    out = [mix(h ^ lane) for h in out]
+    long = np.flatnonzero(size > LONG_RANGE)
+    live, done = np.flatnonzero((size > 8) & (size <= LONG_RANGE)), 8
+    while len(live):
+        lane = lanes[starts[live] + done] & keep[np.minimum(size[live] - done, 8)]
+        for h in out:
+            h[live] = mix(h[live] * _LEFT ^ lane)
+        done += 8
+        live = live[size[live] > done]
+    for i in long:
+        digest = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
+        for h, x in zip(out, (digest >> 64, digest & (1 << 64) - 1), strict=False):
+            h[i] = x
     return out
 
 
@@ -151,23 +169,39 @@ def bucket_bits(keys: int) -> int:
 
 
 def part_of(parts: int, *cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
+    """The part of a row.  Equal rows of different input partitions go to different parts, so rows that repeat a million
+    times, or null ids with null texts, are spread as well; a row's part is the same at each run over the same files."""
+    return F.pmod(F.xxhash64(*cols, F.spark_partition_id()), F.lit(parts)).cast("int")
 
 
 def to_bytes(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
+def pack_ascending(x: np.ndarray) -> bytes:
+    """Ascending numbers as the gaps between them, as wide as the largest needs; the width comes first."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    wide = max(1, (int(gap.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + to_bytes(gap, wide)
+
+
+def unpack_ascending(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """(n ascending numbers, place after them)."""
+    wide = raw[at]
+    return np.cumsum(from_bytes(raw, n, wide, at + 1), dtype=np.uint64), at + 1 + wide * n
+
+
 def from_bytes(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
     return out.view("<u8").ravel()
 
 
-def bucket_edges(sorted_keys: np.ndarray, bits: int, key_bits: int = 64) -> np.ndarray:
-    """Where each of the 2**bits buckets begins in the sorted keys, and the end."""
-    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(key_bits - bits)
-    return np.concatenate(([0], np.searchsorted(sorted_keys, tops), [len(sorted_keys)]))
+def bucket_cuts(sorted_keys: np.ndarray, bits: int, key_bits: int = 64) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of each bucket that the sorted keys have something in, in order."""
+    top = (sorted_keys >> np.uint64(key_bits - bits)).astype(np.int64)
+    begin = runs(top)
+    return list(zip(top[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(top)], strict=False))
 
 
 def runs(sorted_keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -181,6 +215,15 @@ def runs(sorted_keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def sorted_runs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where each run of equal pairs begins in it): by the first numbers, and by both if that isn't enough."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+        order = np.lexsort((two, one))
+    return order, runs(one[order], two[order])
+
+
 def run_ids(begin: np.ndarray, n: int) -> np.ndarray:
     """The run of each of n sorted entries."""
     return np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))

@@ -11,10 +11,13 @@ and no level is left out for size.
 Probability of a token after its history h: ``(1 - w) * P(shorter history) + w * min(1, c(h, token) / c(h))`` where
 the filter knows h, else P(shorter history); with no history ``(c + 1) / (N + V + 1)``.
 
-Also returned is the exact add-one unigram score: buckets of single tokens answer with the exact count as well.
+Also returned is the exact add-one unigram score: buckets of single tokens answer with the exact count as well.  There
+a token is told by 128 bits (10^11 different tokens: a chance of 10^-17 that two are taken for one).
 
 Tokens: words outside 0x20 and 0x09-0x0D, A-Z lower-cased, then one end token a text.  Defined cases: null and
-empty texts are one end token; null ids pass through; no training text: N = V = 0; repeated rows count twice.
+empty texts are one end token; a text of any length is handled whole; null ids pass through; no training text:
+N = V = 0; rows that repeat an id or a text count each time; nothing is ranked, so nothing is tied; an empty table
+gives no rows; other columns of docs are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _chunks as C
 
-END = C.mix(np.array([0x5EED], np.uint64))[0]
+END = C.mix(np.array([0x5EED, 0xE2D], np.uint64))
 LEVELS = 96
 #: Bits of a filter for each entry, and probes for each.
 BITS_EACH, PROBES = 8, 5
@@ -53,16 +56,17 @@ def _estimates() -> np.ndarray:
 ESTIMATE = _estimates()
 
 
-def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text) of each token, end tokens included, and the tokens of each text."""
-    w = C.Words(texts, fold=True)
+def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, text) of each token, end tokens included, and the tokens of each text."""
+    w = C.Words(texts, fold=True, two=True)
     counts = w.counts + 1
     at = np.cumsum(counts) - 1
-    h = np.empty(int(counts.sum()), np.uint64)
-    plain = np.ones(len(h), bool)
+    plain = np.ones(int(counts.sum()), bool)
     plain[at] = False
-    h[plain], h[at] = w.hash, END
-    return h, np.repeat(np.arange(len(counts)), counts), counts
+    out = np.empty((2, len(plain)), np.uint64)
+    for h, own, end in zip(out, (w.hash, w.hash2), END, strict=True):
+        h[plain], h[at] = own, end
+    return *out, np.repeat(np.arange(len(counts)), counts), counts
 
 
 class Filter:
@@ -99,23 +103,21 @@ class Filter:
 
 
 def grams(h: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, key) of each n-gram inside one text; of order 2 and above the bucket and KEY_BITS are kept."""
-    if n == 1:
-        return np.arange(len(h)), h
+    """(first token, key) of each n-gram of two tokens or more inside one text: the bucket and KEY_BITS."""
     at, key = C.word_ngrams(h, doc, n)
     return at, key >> np.uint64(64 - bits - KEY_BITS)
 
 
-def pack(key: np.ndarray, c: np.ndarray) -> bytes:
-    """Ascending keys as the gaps between them, and their counts; both as wide as the largest needs."""
-    gap = np.diff(key, prepend=np.uint64(0))
-    wide = lambda x: max(1, (int(x.max()).bit_length() + 7) // 8)
-    return bytes([wide(gap)]) + C.to_bytes(gap, wide(gap)) + C.to_bytes(c, wide(c))
+def pack(key: np.ndarray, c: np.ndarray, two: np.ndarray | None = None) -> bytes:
+    """Ascending keys as the gaps between them, their counts, as wide as the largest needs, and second hashes."""
+    wide = max(1, (int(c.max()).bit_length() + 7) // 8)
+    return C.pack_ascending(key) + bytes([wide]) + C.to_bytes(c, wide) + (b"" if two is None else C.to_bytes(two, 8))
 
 
-def unpack(raw: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
-    wide = raw[0]
-    return np.cumsum(C.from_bytes(raw, m, wide, 1), dtype=np.uint64), C.from_bytes(raw, m, (len(raw) - 1) // m - wide, 1 + wide * m)
+def unpack(raw: bytes, m: int, two: bool) -> tuple[np.ndarray, ...]:
+    key, at = C.unpack_ascending(raw, m)
+    c = C.from_bytes(raw, m, raw[at], at + 1)
+    return key, c, C.from_bytes(raw, m, 8, at + 1 + raw[at] * m) if two else key
 
 
 def log10(c: list[np.ndarray], at: list[np.ndarray], size: int, weight: float) -> np.ndarray:
@@ -146,26 +148,29 @@ def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
     dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), learns.alias("_train"), C.part_of(parts, F.col(id_col), F.col(text_col)).alias("part"))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        h, doc, _ = tokens(table["_text"])
-        train, rows = table["_train"].to_numpy(zero_copy_only=False), []
+        h, two, doc, _ = tokens(table["_text"])
+        train, rows = table["_train"].to_numpy(zero_copy_only=False).astype(np.uint64), []
         for n in range(1, order + 1):
-            at, k = grams(h, doc, n, bits)
-            k, back = np.unique(k, return_inverse=True)
-            c = np.bincount(back, weights=train[doc[at]], minlength=len(k)).astype(np.uint64)
+            if n == 1:
+                by, begin = C.sorted_runs(h, two)
+                k, own = h[by][begin], train[doc[by]]
+            else:
+                at, k = grams(h, doc, n, bits)
+                by = np.argsort(k)
+                begin = C.runs(k[by])
+                k, own = k[by][begin], train[doc[at[by]]]
+            c = np.add.reduceat(own, begin) if len(begin) else own
             kept = 64 if n == 1 else bits + KEY_BITS
-            edges = C.bucket_edges(k, bits, kept)
-            for b in np.flatnonzero(np.diff(edges)):
-                cut = slice(edges[b], edges[b + 1])
-                inside = k[cut] - (np.uint64(b) << np.uint64(kept - bits))
-                rows.append((int(b) + ((n - 1) << bits), key[0].as_py(), n, len(inside), pack(inside, c[cut])))
+            for b, lo, hi in C.bucket_cuts(k, bits, kept):
+                raw = pack(k[lo:hi] - (np.uint64(b) << np.uint64(kept - bits)), c[lo:hi], two[by[begin[lo:hi]]] if n == 1 else None)
+                rows.append((b + ((n - 1) << bits), key[0].as_py(), n, hi - lo, raw))
         return C.blob_table(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
         n = (sent[0][0] >> bits) + 1
-        k, c = (np.concatenate(x) for x in zip(*(unpack(raw, m) for _, _, m, raw in sent), strict=True))
-        by = np.argsort(k)
-        begin = C.runs(k[by])
+        k, c, two = (np.concatenate(x) for x in zip(*(unpack(raw, m, n == 1) for _, _, m, raw in sent), strict=True))
+        by, begin = C.sorted_runs(k, two)
         k, total = k[by][begin], np.add.reduceat(c[by], begin)
         seen = total > 0
         found = Filter(k[seen], np.minimum(level(total[seen]), LEVELS)).levels(k)
@@ -187,11 +192,13 @@ def lm_score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return OUT.empty_table()
-        h, doc, counts = tokens(left["_text"])
+        h, two, doc, counts = tokens(left["_text"])
         c, starts, exact = [], [], None
         for n in range(1, order + 1):
-            at, k = grams(h, doc, n, bits)
-            _, back = np.unique(k, return_inverse=True)
+            at, k = (np.arange(len(h)), h) if n == 1 else grams(h, doc, n, bits)
+            by, begin = C.sorted_runs(k, two if n == 1 else k)
+            back = np.empty(len(k), np.int64)
+            back[by] = C.run_ids(begin, len(k))
             got = [(b, part, m, pa.decompress(raw, m * 7 + 16 if n == 1 else m, "zstd", asbytes=True)) for b, part, m, raw in C.blobs(right, n)]
             q = np.concatenate([np.frombuffer(raw, np.uint8, m) for _, _, m, raw in got] or [np.zeros(0, np.uint8)])
             c.append(ESTIMATE[q][back])

@@ -20,7 +20,10 @@ The chunks are cut from the record batches of ``docs``, twice in one plan.  Rows
 order each time, as they do from files; if they didn't, the operator would fail rather than mix answers.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; a text that holds the mark U+2581
-itself decodes to spaces there; repeated rows are encoded each; null ids pass through.
+itself decodes to spaces there; a text of any length is encoded whole; rows that repeat an id or a text are encoded
+each; null ids pass through; of equal best paths the one whose last edge starts first counts, of equal merges the
+leftmost; an empty table gives no rows; other columns pass through if asked for in ``keep``, whatever their names.
+A unit is told by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -88,7 +91,6 @@ class Pieces:
         return place, spans
 
 
-_points: list[np.ndarray] = []
 _tables: dict[int, tuple] = {}
 
 
@@ -117,9 +119,8 @@ class Units:
         self.ends = np.append(self.starts[1:], len(k))[: len(self.starts)]
         self.first = np.searchsorted(self.starts, self.offs)
         self.unknown = k[self.starts] == 0
-        h = C.range_hashes(self.x, self.starts, self.ends, _code_points())
-        order = np.argsort(h)
-        run = C.runs(h[order])
+        h, other = C.range_hashes(self.x.view(np.uint8), 4 * self.starts, 4 * self.ends, 2)
+        order, run = C.sorted_runs(h, other)
         index = order[run]
         # distinct units by bucket, then by their first characters, so that their texts compress
         bucket = (h[index] >> np.uint64(64 - bits)).astype(np.int64)
@@ -144,7 +145,7 @@ class Units:
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(h, size, edges): for each unit w its length and an edge (rank, i, l, ...) for each piece in it, by rank and place.
+    """(h, g, size, edges): for each unit w its length and an edge (rank, i, l, ...) for each piece in it, by rank and place.
 
     ``ends`` and ``span`` are the bits of its two ends and of all its boundaries.  The words lie in partitions by h, so
     the grouping needs no further exchange.
@@ -154,12 +155,12 @@ def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     if len(pieces.ranked) <= BROADCAST_PIECES:
         table = F.broadcast(table)
     # two plain explodes run as generated code; one over an array of structs would be interpreted
-    found = words.select("h", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
-    found = found.select("h", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
-    found = found.select("h", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
+    found = words.select("h", "g", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
+    found = found.select("h", "g", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
+    found = found.select("h", "g", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
     edge = F.expr("struct(CAST(rank AS INT) AS rank, i, l, score, shiftleft(1L, i) | shiftleft(1L, i + l) AS ends, shiftleft(shiftleft(1L, l + 1) - 1L, i) AS span)")
-    grouped = found.groupBy("h").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.select("h", F.length("w").alias("size"), "edges")
+    grouped = found.groupBy("h", "g").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.select("h", "g", F.length("w").alias("size"), "edges")
 
 
 def _merged(lattice: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def _merged(lattice: DataFrame) -> DataFrame:
         (state, n) -> coalesce(get(transform(slice(filter(merges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state),
         state -> transform(sort_array(transform(filter(lattice, e -> (state & e.span) = e.ends), e -> struct(e.i, e.rank))), p -> p.rank))), 0)), 0)"""
     first = "array(edges[0].rank)"
-    return lattice.select("h", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
+    return lattice.select("h", "g", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
 
 
 def _viterbi(lattice: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def _viterbi(lattice: DataFrame) -> DataFrame:
         (best, e) -> IF(best[e.i].score IS NULL OR best[e.j].score >= best[e.i].score + e.score, best,
             transform(best, (b, k) -> IF(k = e.j, struct(best[e.i].score + e.score AS score, e.i AS back, e.rank AS rank), b))),
         best -> {back})"""
-    return lattice.select("h", F.expr(forward).alias("ranks"))
+    return lattice.select("h", "g", F.expr(forward).alias("ranks"))
 
 
 def _long_unit(unit: str, p: Pieces) -> np.ndarray:
@@ -268,38 +269,42 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
                 found.append((int(b), chunk, len(at), _pack(lens.tobytes() + "".join(u.texts(at)).encode())))
             yield from _rows(found).to_batches()
 
-    def asked_units(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, str]:
-        """(hashes, ends, joined text) of the units that a chunk asks for in one bucket."""
+    def asked_units(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """(hashes, second hashes, ends, joined text) of the units that a chunk asks for in one bucket."""
         raw = _unpack(body)
         end = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)
         text = raw[4 * n :].decode()
         begin = np.concatenate((np.zeros(1, np.int64), end[:-1])) if n else end
-        return C.range_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), begin, end, _code_points()), end, text
+        return *C.range_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint8), 4 * begin, 4 * end, 2), end, text
 
     def distinct(table: pa.Table) -> pa.Table:
         C.trim()
         sent = [asked_units(n, body) for n, body in zip(table["n"].to_pylist(), table["body"].to_pylist(), strict=True)]
-        h = np.concatenate([x[0] for x in sent])
-        order = np.argsort(h)
-        first = np.sort(order[C.runs(h[order])])
+        h, g = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
+        order, run = C.sorted_runs(h, g)
+        first = np.sort(order[run])
         from_ = np.cumsum([0, *(len(x[0]) for x in sent)])
         words = []
-        for (_, end, text), lo, hi in zip(sent, from_[:-1], from_[1:], strict=True):
+        for (_, _, end, text), lo, hi in zip(sent, from_[:-1], from_[1:], strict=True):
             at = first[np.searchsorted(first, lo) : np.searchsorted(first, hi)] - lo
             words += [text[a:b] for a, b in zip(np.where(at > 0, end[at - 1], 0).tolist(), end[at].tolist(), strict=True)]
-        return pa.table({"h": pa.array(h[first].view(np.int64)), "w": pa.array(words, pa.string())})
+        return pa.table({"h": pa.array(h[first].view(np.int64)), "g": pa.array(g[first].view(np.int64)), "w": pa.array(words, pa.string())})
 
     def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h = h[order]
+        h, g = (right[c].to_numpy().view(np.uint64) for c in ("h", "g"))
+        order, _ = C.sorted_runs(h, g)
+        h, g = h[order], g[order]
         ranks = right["ranks"].combine_chunks()
         by_rank = np.array([i for _, i, _ in shared.value.ranked], np.int32)
         flat, offs = by_rank[np.asarray(ranks.flatten(), np.int64)], np.asarray(ranks.offsets, np.int64)
         offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
         found = []
         for chunk, n, body in zip(*(left[c].to_pylist() for c in ("chunk", "n", "body")), strict=True):
-            at = order[np.searchsorted(h, asked_units(n, body)[0])] if n else np.zeros(0, np.int64)
+            own, other, *_ = asked_units(n, body)
+            at = np.searchsorted(h, own)
+            while len(miss := np.flatnonzero(g[at] != other)):  # units that share the first hash lie side by side
+                at[miss] += 1
+            at = order[at]
             count = offs[at + 1] - offs[at] if n else at
             ids = flat[_ragged(offs[at], count)].astype(np.int32)
             found.append((key[0].as_py(), chunk, n, _pack(count.astype(np.uint16).tobytes() + ids.tobytes())))
@@ -348,7 +353,7 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
         return pa.concat_tables(out)
 
     asked = texts.select("_id", "_text").mapInArrow(ask, ASK_DDL)
-    words = asked.groupBy("bucket").applyInArrow(distinct, "h long, w string")
+    words = asked.groupBy("bucket").applyInArrow(distinct, "h long, g long, w string")
     # few enough words in a partition that their edges are grouped in memory
     words = words.repartition(max(8, size // 200 // 30_000), "h")
     lattice = _edges(words, pieces)
@@ -370,13 +375,6 @@ def _rows(found: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 4, ASK, strict=True)], schema=ASK)
 
 
-def _code_points() -> np.ndarray:
-    """A hash for each code point."""
-    if not _points:
-        _points.append(C.mix(np.arange(1, 0x110001, dtype=np.uint64)))
-    return _points[0]
-
-
 def _pack(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 

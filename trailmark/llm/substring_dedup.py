@@ -6,15 +6,18 @@ sequence also starts in a document with a smaller id.  Windows are judged on the
 Method.  With blocks of ``(window + 1) // 2`` words, every window holds a whole block whose place is a multiple of
 the block length.  (1) Index these non-overlapping reference blocks and probe them with every rolling block: a
 block hash is a hit if it stands at a reference place somewhere and in two documents.  (2) Extend: the windows
-around hits are matched by 80-bit fingerprints, and each learns whether a smaller document holds it.  (3) Windows
+around hits are matched by 128-bit fingerprints, and each learns whether a smaller document holds it: among 10^13
+different windows two are taken for one with a chance below 10^-12.  (3) Windows
 that overlap join into maximal repeats, and the words they cover go.
 
 Both exchanges carry one entry per distinct key and part, so passages shared by a third of all documents cost no
 more than rare ones.  No pairs of documents are made.
 
 Defined cases: null and empty texts have no words; a null id is never trimmed and never a reference; rows that
-repeat an id are no copies of each other (an id is not smaller than itself); an empty table gives no rows; other
-columns are passed through only if asked for in ``keep``.
+repeat an id, with one text or several, are no copies of each other (an id is not smaller than itself), so nothing
+is ever tied; a text of any length is handled whole, in a part of its own if it is longer than a part; an empty
+table gives no rows; other columns are passed through only if asked for in ``keep``, whatever their names, unless
+they are named like a column of the result, which is an error.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ NO_ID = np.iinfo(np.int64).max
 class _Part:
     """Words of a part with its sorted distinct block hashes."""
 
-    def __init__(self, table: pa.Table, window: int, bits: int):
-        self.words = w = C.Words(table["_text"])
+    def __init__(self, table: pa.Table, window: int, bits: int, two: bool = True):
+        self.words = w = C.Words(table["_text"], two=two)
         self.ids = table["_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         self.block = (window + 1) // 2
         self.at, h = w.ngrams(self.block)
@@ -46,7 +49,7 @@ class _Part:
         key = key[self.order]
         self.begin = C.runs(key)
         self.keys = key[self.begin]
-        self.edges = C.bucket_edges(self.keys, bits, bits + ANCHOR_BITS)
+        self.cuts = C.bucket_cuts(self.keys, bits, bits + ANCHOR_BITS)
 
     def anchors(self) -> np.ndarray:
         """Hash, then whether it stands at a reference place, then whether two documents of the part have it."""
@@ -62,19 +65,16 @@ class _Part:
     def windows(self, answers: list, window: int):
         """Starts, fingerprints, order and runs of the windows around hits."""
         w, hit = self.words, np.zeros(len(self.keys), bool)
-        for b, _, n, raw in answers:
-            hit[self.edges[b] : self.edges[b + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+        for (_, lo, hi), (_, _, n, raw) in zip(self.cuts, answers, strict=True):
+            hit[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
         near = np.zeros(len(w.starts) + 1, np.int64)
         near[self.at[self.order] + 1] = hit[C.run_ids(self.begin, len(self.at))]
         near = np.cumsum(near)
-        at, one = w.ngrams(window, 1)
+        at, one = w.ngrams(window)
         near = near[at + window - self.block + 1] > near[at]
-        two = w.ngrams(window, 2)[1][near] & np.uint64(0xFFFF)
+        two = w.ngrams(window, second=True)[1][near]
         at, one = at[near], one[near]
-        order = np.argsort(one)
-        if len(order) and np.any((one[order][1:] == one[order][:-1]) & (two[order][1:] != two[order][:-1])):
-            order = np.lexsort((two, one))
-        begin = C.runs(one[order], two[order])
+        order, begin = C.sorted_runs(one, two)
         least = np.minimum.reduceat(self.ids[w.doc[at[order]]], begin) if len(begin) else np.zeros(0, np.int64)
         return at, one, two, order, begin, least
 
@@ -92,12 +92,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
-        p = _Part(table, window, bits)
-        rows, x = [], p.anchors()
-        for b in np.flatnonzero(np.diff(p.edges)):
-            lo, hi = p.edges[b], p.edges[b + 1]
-            rows.append((int(b), key[0].as_py(), 1, int(hi - lo), C.to_bytes(x[lo:hi], 5)))
-        return C.blob_table(rows)
+        p = _Part(table, window, bits, two=False)
+        x = p.anchors()
+        return C.blob_table([(b, key[0].as_py(), 1, hi - lo, C.to_bytes(x[lo:hi], 5)) for b, lo, hi in p.cuts])
 
     def probe(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
@@ -115,23 +112,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left.num_rows:
             return C.blob_table([])
         _, one, two, order, begin, least = _Part(left, window, bits).windows(C.blobs(right, 1), window)
-        one, two = one[order][begin], two[order][begin]
-        edges, rows = C.bucket_edges(one, bits), []
-        for b in np.flatnonzero(np.diff(edges)):
-            cut = slice(edges[b], edges[b + 1])
-            base = int(least[cut].min())
-            wide = max(1, (int(least[cut].max() - base).bit_length() + 7) // 8)
-            raw = base.to_bytes(8, "little", signed=True) + bytes([wide]) + C.to_bytes(one[cut], 7) + C.to_bytes(two[cut], 2) + C.to_bytes((least[cut] - base).view(np.uint64), wide)
-            rows.append((int(b), key[0].as_py(), 2, int(edges[b + 1] - edges[b]), raw))
+        one, two, rows = one[order][begin], two[order][begin], []
+        for b, lo, hi in C.bucket_cuts(one, bits):
+            base = int(least[lo:hi].min())
+            wide = max(1, (int(least[lo:hi].max() - base).bit_length() + 7) // 8)
+            raw = base.to_bytes(8, "little", signed=True) + bytes([wide]) + C.pack_ascending(one[lo:hi]) + C.to_bytes(two[lo:hi], 8) + C.to_bytes((least[lo:hi] - base).view(np.uint64), wide)
+            rows.append((b, key[0].as_py(), 2, hi - lo, raw))
         return C.blob_table(rows)
 
     def least_of(table: pa.Table) -> pa.Table:
         sent = C.blobs(table)
-        one = np.concatenate([C.from_bytes(raw, n, 7, 9) for _, _, n, raw in sent])
-        two = np.concatenate([C.from_bytes(raw, n, 2, 9 + 7 * n) for _, _, n, raw in sent])
-        ids = np.concatenate([C.from_bytes(raw, n, raw[8], 9 + 9 * n).view(np.int64) + int.from_bytes(raw[:8], "little", signed=True) for _, _, n, raw in sent])
-        order = np.lexsort((two, one))
-        begin = C.runs(one[order], two[order])
+        one, two, ids = [], [], []
+        for _, _, n, raw in sent:
+            x, at = C.unpack_ascending(raw, n, 9)
+            one.append(x)
+            two.append(C.from_bytes(raw, n, 8, at))
+            ids.append(C.from_bytes(raw, n, raw[8], at + 8 * n).view(np.int64) + int.from_bytes(raw[:8], "little", signed=True))
+        one, two, ids = np.concatenate(one), np.concatenate(two), np.concatenate(ids)
+        order, begin = C.sorted_runs(one, two)
         back = np.empty(len(one), bool)
         back[order] = np.minimum.reduceat(ids[order], begin)[C.run_ids(begin, len(one))] < ids[order]
         return _answer(sent, back, 2)
@@ -142,9 +140,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = _Part(left, window, bits)
         w = p.words
         at, one, _, order, begin, least = p.windows(C.blobs(right, 1), window)
-        smaller, edges = np.zeros(len(begin), bool), C.bucket_edges(one[order][begin], bits)
-        for b, _, n, raw in C.blobs(right, 2):
-            smaller[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+        smaller = np.zeros(len(begin), bool)
+        for (_, lo, hi), (_, _, n, raw) in zip(C.bucket_cuts(one[order][begin], bits), C.blobs(right, 2), strict=True):
+            smaller[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
         run, start = C.run_ids(begin, len(at)), at[order]
         mine = p.ids[w.doc[start]]
         start = start[(smaller[run] | (least[run] < mine)) & (mine != NO_ID)]
