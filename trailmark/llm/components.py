@@ -20,13 +20,18 @@ HOT_KEYS = 10_000
 FEW_ROWS = 1_000
 
 
+def many_rows(total: int) -> int:
+    """More rows than this of one key make it hot: HOT_KEYS keys at most, whatever the rows."""
+    return max(FEW_ROWS, math.ceil(total / HOT_KEYS))
+
+
 def hot_join(rows: DataFrame, sums: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with sums, which has one row a key and in ``n`` how many of the ``total`` rows have it.
 
-    Keys of more than total / HOT_KEYS rows, which are HOT_KEYS at most, are broadcast; the others meet by a shuffle.
+    Keys of more than ``many_rows`` are broadcast; the others meet by a shuffle.
     Inner or left; null keys find nothing.
     """
-    many = max(FEW_ROWS, math.ceil(total / HOT_KEYS))
+    many = many_rows(total)
     more = [c for c in sums.columns if c not in (key, n)]
     packed = F.struct(*[F.col(c) for c in more])
     hot = F.broadcast(sums.filter(F.col(n) > many).select(key, packed.alias("_hot")))

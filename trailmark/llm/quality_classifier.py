@@ -1,14 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the bag of its words and of its byte n-grams, hashed to ``BUCKETS``.  Each bucket has a learned vector; a
-text is their mean, and a softmax layer over it gives the class probabilities.  NumPy stochastic gradient descent
-fits both on the driver from at most ``max_labels`` labelled texts (those whose ids hash lowest; the documented bound
-of the sample), which arrive as bucket counts.  As the class scores are linear in the mean vector, scoring needs one
-number a bucket: every whole text is scored with array lookups, with a broadcast of BUCKETS numbers.
-
-Defined cases: null and empty texts have no features and get the learned prior; labels that are null or neither 0
-nor 1 are not learned from, of repeated labels of one id the smaller counts; without labels of both classes the
-score of every text is the share of label 1 seen (0.5 if none were); repeated rows are scored each.
+A text is the bag of its words, of pairs of neighbouring words and of its character n-grams, hashed to ``BUCKETS``.
+Each bucket has a learned vector; a text is their mean, and a softmax layer over it gives the class probabilities.
+NumPy stochastic gradient descent fits both on the driver from at most ``max_labels`` labelled texts (those whose ids
+hash lowest; the documented bound of the sample), which arrive as bucket counts.  As the class scores are linear in
+the mean vector, scoring needs one number a bucket: every whole text is scored with array lookups, with a broadcast
+of BUCKETS numbers.
+
+Defined cases: null and empty texts have no features and get the learned prior; a text of any length is scored whole;
+labels that are null or neither 0 nor 1 are not learned from, of repeated labels of one id the smaller counts; of
+texts that share a labelled id the first in order is learned from; without labels of both classes the score of every
+text is the share of label 1 seen (0.5 if none were); a score of exactly 0.5 is predicted as 1; repeated rows are
+scored each; an empty table gives no rows; other columns pass through if asked for in ``keep``, whatever their
+names, unless named like a column of the result.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from . import _chunks as C
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (3, 4)
-#: Text bytes taken at once: a byte has two n-grams with several numbers of eight bytes each.
-SLICE = 1 << 20
+#: Text bytes taken at once: a character has two n-grams with several numbers of eight bytes each.
+SLICE = 1 << 19
 
 
 def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -40,20 +44,19 @@ def features(texts):
     """For each kind of feature: buckets, and where those of each text begin and end."""
     w = C.Words(texts)
     yield (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64), w.first[:-1], w.first[1:]
-    if len(w.hash) > 1:
-        # pairs of words; a word after itself is one and the same feature, whichever word it is
-        pair = C.mix(w.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[1:]) & np.uint64(BUCKETS - 1)
-        pair[w.hash[:-1] == w.hash[1:]] = 0
-        yield pair.astype(np.int64), w.first[:-1], np.maximum(w.first[:-1], w.first[1:] - 1)
-    x = w.data.astype(np.uint32)
+    at, pair = w.ngrams(2)
+    edge = np.searchsorted(at, w.first)
+    yield (pair & np.uint64(BUCKETS - 1)).astype(np.int64), edge[:-1], edge[1:]
+    # characters; a text begins at as many as bytes that begin one are before it
+    x = np.frombuffer(w.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    offs = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))[w.offs]
     for n in GRAMS:
         if len(x) >= n:
-            code = x[: len(x) - n + 1].copy()
+            code = x[: len(x) - n + 1].astype(np.uint64)
             for k in range(1, n):
-                code |= x[k : len(x) - n + 1 + k] << np.uint32(8 * k)
-            code = (code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D + 2 * n)
-            code = (code ^ code >> np.uint32(12)) * np.uint32(0x297A2D39)
-            yield (code >> np.uint32(16)).astype(np.int64), w.offs[:-1], np.maximum(w.offs[:-1], w.offs[1:] - n + 1)
+                code = code << np.uint64(21 - 5 * (n > 3)) ^ x[k : len(x) - n + 1 + k]
+            code = C.mix(code + np.uint64(n))
+            yield (code >> np.uint64(48)).astype(np.int64), offs[:-1], np.maximum(offs[:-1], offs[1:] - n + 1)
 
 
 class Classifier:
@@ -102,8 +105,8 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str, text_col: str, label_col: str, max_labels: int) -> Classifier:
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"), learn_on.alias("_use"))
-    known = known.filter("_use and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y"), learn_on.alias("_use"))
+    known = known.filter("_use and _y in (0, 1)").withColumn("_y", F.col("_y").cast("int")).groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
 
     def bags(batches):
         for batch in batches:
@@ -115,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str, tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # max_labels rows of two numbers: small enough to broadcast at any corpus size
-    rows = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).select("_y", "_text").mapInArrow(bags, "y int, at binary, n binary").toArrow()
+    rows = texts.join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_text").alias("_text")).select("_y", "_text").mapInArrow(bags, "y int, at binary, n binary").toArrow()
     rows = sorted(zip(*(rows[c].to_pylist() for c in ("y", "at", "n")), strict=True))
     found = Classifier.fit([(y, np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint16)) for y, at, n in rows])
     del rows
@@ -123,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str, tex
     return found
 
 
-def quality_score(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_score(docs: DataFrame, labels: DataFrame, learn_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, held_out, score (probability of label 1), predicted, then the columns in
     ``keep``.  ``learn_on`` is over the labels' columns; only its rows are learned from (null: not held out)."""
     learns = F.coalesce(learn_on, F.lit(True))

@@ -7,12 +7,18 @@ sums for 33 exponents at once, whatever the number of sources.
 
 The token budget is ``budget``, or, where none is given, the least with which every source is passed at least once,
 so that nothing is lost.  A source is then passed ``budget * weight / tokens`` times.  Its texts lie in blocks by a
-hash of their ids; each pass has its own permutation of the blocks, and the last, partial pass ends inside a block
-at a hash of its texts.  So no sort or window sees more than the blocks of one source (BLOCKS at most) or the texts
-of one block, even where one source holds a third of all rows.
-
-Defined cases: a null source is a source of its own; texts without words count as one token; repeated rows are drawn
-alike; an empty table gives no rows.  Tokens are words outside 0x20 and 0x09-0x0D.
+hash of id and row; each pass has its own permutation of the blocks, and the last, partial pass ends inside a block:
+texts follow there in the order of a hash while less than the pass has been drawn before them, so a source is drawn
+over its budget by less than one text.  No sort or window sees more than the blocks of one source (BLOCKS at most)
+or the texts of one block, even where one source, or one id, holds a third of all rows.
+
+A row is told from its copies by its place in docs, so rows must come in the same order each time, as they do from
+files; if they didn't, a partial pass would end at another text.
+
+Defined cases: a null source is a source of its own; null texts and texts without words count as one token, and a
+text of any length is drawn whole; rows that repeat or lack an id are drawn one by one; sources of one size get one
+weight; an empty table gives no rows; other columns of docs pass through if asked for in ``keep``, whatever their
+names, unless named like a column of the result.  Tokens are words outside 0x20 and 0x09-0x0D.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._chunks import cut
 
-#: Blocks of a source at most, and tokens of a block otherwise.
+#: Blocks of a source at most, and tokens of a block otherwise, if not said otherwise.
 BLOCKS, BLOCK_TOKENS = 1 << 16, 250_000
 _STEPS = 33
 
@@ -86,9 +92,10 @@ def exponent(sources: DataFrame, budget: float | None = None, target_entropy: fl
     return t, _figures(sources, [t], most, budget)[0][3]
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: float | None, target_entropy: float | None, repeat_limit: float | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(texts with source, tokens and hashes; blocks of each source and pass with their place and cut)."""
-    texts = cut(docs.select(F.col(id_col).alias("_id"), _source(source_col), token_count(F.col(text_col)).alias("n")))
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: float | None, target_entropy: float | None, repeat_limit: float | None, seed: int, block_tokens: int) -> DataFrame:
+    """Blocks of each source and pass: their tokens, those before them and the room of the pass, the place, and, where
+    the pass ends inside, the cut: the last hash that is drawn."""
+    texts = cut(_rows(docs, id_col, source_col, token_count(F.col(text_col)).alias("n")))
     sources = cut(texts.groupBy("_source").agg(F.sum("n").alias("tokens")))
     t, total = exponent(sources, budget, target_entropy, repeat_limit)
     z = sources.agg(F.sum(F.pow("tokens", F.lit(t)))).first()[0] or 1.0
@@ -96,23 +103,18 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: f
     sources = sources.withColumn("weight", weight).withColumn("passes", F.col("weight") * F.lit(total) / F.col("tokens"))
     # a hair below a whole number of passes is that number
     sources = sources.withColumn("passes", F.when(F.abs(F.col("passes") - F.round("passes")) < 1e-6, F.round("passes")).otherwise(F.col("passes")))
-    sources = cut(sources.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")))
-    small = _small(sources)
-    placed = texts.join(small, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed))
-    blocks = placed.groupBy("_source", "block").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"), F.first("weight").alias("weight"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
-    blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil("passes") - 1).cast("int")))))
+    sources = cut(sources.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("tokens") / block_tokens)).cast("int")))
+    placed = texts.join(_small(sources.select("_source", "blocks")), "_source").withColumn("block", _block(seed))
+    sizes = placed.groupBy("_source", "block").agg(F.sum("n").alias("n"))
+    blocks = sizes.join(_small(sources), "_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil("passes") - 1).cast("int")))))
     order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")
-    blocks = blocks.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    left = (F.col("passes") - F.col("epoch")) * F.col("tokens") - F.coalesce("before", F.lit(0))
-    blocks = cut(blocks.withColumn("room", left).filter("room > 0"))
-    # the block in which a partial pass ends takes texts in the order of their hash while there is room
+    blocks = blocks.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = cut(blocks.withColumn("room", (F.col("passes") - F.col("epoch")) * F.col("tokens") - F.col("before")).filter("room > 0"))
     last = blocks.filter("room < n").select("_source", "block", "epoch", "room")
-    inside = texts.join(small.select("_source", "blocks"), "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).join(_small(last), ["_source", "block"])
-    inside = inside.withColumn("key", _key(F.col("_id"), F.col("epoch"), seed))
-    run = Window.partitionBy("_source", "epoch").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = inside.withColumn("upto", F.sum("n").over(run)).filter("upto - n < room").groupBy("_source", "block", "epoch").agg(F.max("key").alias("cut"))
-    blocks = blocks.join(cuts, ["_source", "block", "epoch"], "left")
-    return texts, blocks.select("_source", "block", "blocks", "epoch", "place", "weight", "passes", "cut")
+    inside = placed.join(_small(last), ["_source", "block"]).withColumn("key", _key(seed))
+    run = Window.partitionBy("_source", "epoch").orderBy("key", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = inside.withColumn("drawn", F.coalesce(F.sum("n").over(run), F.lit(0))).filter("drawn < room").groupBy("_source", "block", "epoch").agg(F.max("key").alias("cut"))
+    return blocks.join(cuts, ["_source", "block", "epoch"], "left")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -120,28 +122,31 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= 50_000 else rows
 
 
-def _source(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit("\u0000")).alias("_source")
+def _rows(docs: DataFrame, id_col: str, source_col: str, *more: Column) -> DataFrame:
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000"))
+    return docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.monotonically_increasing_id().alias("_row"), *more)
 
 
-def _block(id_: Column, blocks: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(id_, F.lit(seed)), blocks).cast("int")
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64("_id", "_row", F.lit(seed)), F.col("blocks")).cast("int")
 
 
-def _key(id_: Column, epoch: Column, seed: int) -> Column:
-    return F.xxhash64(id_, epoch, F.lit(seed + 1))
+def _key(seed: int) -> Column:
+    return F.xxhash64("_id", "_row", "epoch", F.lit(seed + 1))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, target_entropy: float | None = None, repeat_limit: float | None = 2.0, seed: int = 17, keep: tuple[str, ...] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, target_entropy: float | None = None, repeat_limit: float | None = 2.0, seed: int = 17, keep: tuple[str, ...] | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each draw: doc_id, source, epoch (the pass it belongs to), block, weight (of the source) and
     position (0 to 1, the order in which all sources mix), then the columns in ``keep``."""
-    if (repeat_limit is not None and repeat_limit < 1 and budget is None) or (target_entropy is not None and not 0 <= target_entropy <= 1):
-        raise ValueError("repeat_limit must be 1 at least, and target_entropy from 0 to 1")
-    texts, blocks = plan(docs, id_col, text_col, source_col, budget, target_entropy, repeat_limit, seed)
-    sizes = _small(blocks.select("_source", "blocks").distinct())
-    held = docs.select(F.col(id_col).alias("_id"), _source(source_col), F.col(source_col).alias("source"), F.struct(*[F.col(c) for c in keep]).alias("_keep")) if keep else docs.select(F.col(id_col).alias("_id"), _source(source_col), F.col(source_col).alias("source"))
-    drawn = held.join(sizes, "_source").withColumn("block", _block(F.col("_id"), F.col("blocks"), seed)).drop("blocks").join(_small(blocks), ["_source", "block"])
-    drawn = drawn.withColumn("key", _key(F.col("_id"), F.col("epoch"), seed)).filter("cut is null or key <= cut")
-    inner = F.col("key") / F.lit(2.0**64) + 0.5
-    drawn = drawn.withColumn("position", (F.col("epoch") + (F.col("place") + inner) / F.col("blocks")) / F.col("passes"))
+    if (repeat_limit is not None and repeat_limit < 1 and budget is None) or (target_entropy is not None and not 0 <= target_entropy <= 1) or block_tokens < 1:
+        raise ValueError("repeat_limit and block_tokens must be 1 at least, and target_entropy from 0 to 1")
+    blocks = plan(docs, id_col, text_col, source_col, budget, target_entropy, repeat_limit, seed, block_tokens)
+    counts = _small(blocks.select("_source", "blocks").distinct())
+    held = _rows(docs, id_col, source_col, F.col(source_col).alias("source"), *([F.struct(*[F.col(c) for c in keep]).alias("_keep")] if keep else []))
+    drawn = held.join(counts, "_source").withColumn("block", _block(seed)).join(_small(blocks.drop("blocks")), ["_source", "block"])
+    drawn = drawn.withColumn("key", _key(seed)).filter("room >= n or key <= cut")
+    low = F.lit(-(2.0**63))
+    inner = (F.col("key") - low) / (F.coalesce("cut", F.lit(2.0**63)) - low + 1.0)
+    upto = F.col("before") + F.least(F.lit(1.0), inner) * F.least("room", "n")
+    drawn = drawn.withColumn("position", F.least(F.lit(1.0), (F.col("epoch") + upto / F.col("tokens")) / F.col("passes")))
     return drawn.select(F.col("_id").alias("doc_id"), "source", "epoch", "block", "weight", "position", *([F.col("_keep")[c].alias(c) for c in keep] if keep else []))
