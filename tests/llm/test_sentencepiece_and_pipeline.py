@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -96,10 +97,55 @@ def test_unsupported_models_are_refused():
 
 def test_every_operator_is_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names[:10]] == [f"op{i}" for i in range(1, 11)]
     assert set(oracle_sql()) <= set(names)
 
 
+COLUMNS = {
+    "op1_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op4_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op5_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op7_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op8_exact_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op9_permutation_search": "query_id bigint, rank int, vec_id bigint, score double",
+    "op10_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    rows = {r[0]: (*r[:5], *r[5:]) for r in cases.documents() if r[0] is not None and "\0" not in (r[1] or "")}
+    spark.createDataFrame(list(rows.values()), cases.SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    hosts = ["a.net", "Example.NET", "b.com", "www.example.com", "x.org", "c.io"]
+    pages = [(i, f"http://{hosts[i % 6]}/{['de', 'fr', 'en'][i % 3]}/{i}?q", "".join(f'<a href="https://{hosts[(i * k) % 6]}/">' for k in (1, 5))) for i in range(40)] + [(50, None, None), (51, "x", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_registered_queries(spark, tables, name):
+    """Columns and rows of each registered query, and its rows where SQL can tell them."""
+    out = queries()[name](spark, tables)
+    if name in COLUMNS:
+        assert out.schema.simpleString() == "struct<" + COLUMNS[name].replace(", ", ",").replace(" ", ":") + ">"
+    got = sorted(map(tuple, out.collect()), key=repr)
+    n = spark.read.parquet(f"{tables}/documents.parquet").count()
+    if "doc_id" in out.columns and not name.startswith("op2"):
+        assert len(got) == len({r[0] for r in got}) == n
+    if name in oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "labels", "embeddings", "pages"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet/*.parquet')")
+        want = con.execute(oracle_sql()[name])
+        at = [[c[0] for c in want.description].index(c) for c in out.columns]
+        assert got == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against a plain version of what it decides, on its own input."""
     rng = np.random.default_rng(0)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .lm_scoring import lm_score
 from .quality_classifier import quality_score
-from .sentencepiece import encode
+from .sentencepiece import Pieces, encode
 from .source_mixing import mix
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
@@ -61,7 +62,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"), _bucket(7) != 2)
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    out = op10_lm_scoring(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def unigram_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Viterbi fold over every text, with the pieces of the model file taken as a unigram table."""
+    out = encode(_read(spark, sf_dir, "documents"), Pieces.as_unigram(MODEL_FILE), check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "ids"), 256).alias("ids_sha256"), "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -88,9 +101,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_top_k,
         op9_permutation_search,
         op10_lm_scoring,
+        lm_base_scores,
+        unigram_lattice,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filter": oracles.url_filter(URL_RULES),
+        "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op7_jaccard_join": oracles.JACCARD_JOIN,
+        "op8_exact_top_k": oracles.EXACT_TOP_K,
+        "lm_base_scores": oracles.LM_BASE,
+    }

@@ -64,6 +64,16 @@ class Pieces:
         self._read(proto)
         return self
 
+    @classmethod
+    def as_unigram(cls, path: str) -> Pieces:
+        """The pieces of a BPE model as a unigram table: the log of a probability that falls with the rank."""
+        self = cls(path)
+        total = float(np.log(np.sum(1.0 / (10.0 + np.arange(len(self.ranked))))))
+        self.unigram = True
+        self.rows = [(p, i, float(-np.log(10.0 + r) - total)) for r, (p, i, _) in enumerate(self.ranked)]
+        self.ranked = self.rows
+        return self
+
     def _read(self, m) -> None:
         norm, kind = m.normalizer_spec, m.trainer_spec.model_type
         if kind not in (1, 2) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or m.trainer_spec.treat_whitespace_as_suffix:
