@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.
+
+Defined cases, in every stage: null and empty texts are documents like others (the classifier gives them its prior;
+they link with nothing, lose nothing, count as one token and have no ids); documents without an id are kept, one of
+each text; rows that repeat an id and a text are copies, and one stays; rows that repeat an id with other texts are
+kept apart, unless one is a near copy of a document with a smaller id, when the id's class decides for all of them;
+texts of any length are handled whole; ties go to the smaller id; an empty table gives an empty table; columns
+beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -69,11 +76,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
+    """All stages over ``documents``; each result is a table in the shared folder, and the last one stays there."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared.rstrip('/')}/corpus_pipeline_{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage's table when the next one is written; the last one is the result."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
