@@ -568,7 +568,7 @@ def encoder_vectors(spark, d):
     return encoder.transform(cases).select("SessionId", "decision_index", text.alias("vector"))
 
 
-_RETR = f"""{_encoder_sql()}, rq AS (SELECT SessionId, decision_index, Latitude, Longitude, vec, row_number() OVER (PARTITION BY SessionId ORDER BY decision_index DESC) AS r FROM ev WHERE next_time IS NOT NULL AND SessionId % 3 = 0 AND SessionId % 5 = 0),
+_RETR = f"""{_encoder_sql()}, rq AS (SELECT SessionId, decision_index, Latitude, Longitude, vec, row_number() OVER (PARTITION BY SessionId ORDER BY decision_index DESC) AS r FROM ev WHERE next_time IS NOT NULL AND SessionId % 3 = 0),
 r0 AS (SELECT q.SessionId AS query, c.SessionId AS case_session, c.decision_index AS case_index, c.next_POIId, c.next_category, list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec, q.vec)) / sqrt(list_dot_product(c.vec, c.vec)) AS cosine_score, exp(-{_m('q.Latitude', 'q.Longitude', 'c.Latitude', 'c.Longitude')} / 500.0) AS spatial_score FROM rq q JOIN ev c ON c.cs AND c.SessionId <> q.SessionId WHERE q.r = 1),
 r1 AS (SELECT *, 0.3 * spatial_score + 0.7 * cosine_score AS retrieval_score FROM r0), rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(retrieval_score, 9) DESC, case_session, case_index) AS rank FROM r1) WHERE rank <= 5)"""
 
@@ -589,17 +589,24 @@ def _retrieved(spark, d, asking: str = HELD_OUT, **how) -> DataFrame:
 
 @query(f"{_ST}, {_RETR} SELECT query, CAST(rank AS INT) AS rank, round(retrieval_score, 5) AS retrieval_score FROM rr")
 def retrieval_top_k(spark, d):
-    """A fifth of the held-out sessions, as its oracle asks."""
-    return _retrieved(spark, d, f"{HELD_OUT} and SessionId % 5 = 0").select("query", "rank", F.round("retrieval_score", 5).alias("retrieval_score"))
+    return _retrieved(spark, d).select("query", "rank", F.round("retrieval_score", 5).alias("retrieval_score"))
 
 
-@query()
+@query(f"""{_ST}, {_RETR}, p0 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(cosine_score, 9) DESC, case_session, case_index) <= 25),
+p1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(retrieval_score, 9) DESC, case_session, case_index) AS INT) AS rank FROM p0)
+SELECT query, rank, case_session, case_index, round(retrieval_score, 5) AS retrieval_score FROM p1 WHERE rank <= 5""")
 def retrieval_two_stages(spark, d):
-    """Preselection by cosine; it may change results, so it has no exact counterpart."""
+    """Preselection by cosine, then the whole score."""
     return _retrieved(spark, d, preselect=True).select("query", "rank", "case_session", "case_index", F.round("retrieval_score", 5).alias("retrieval_score"))
 
 
-@query()
+def _cand_sql(limit: int) -> str:
+    return f"""cw AS (SELECT *, exp(retrieval_score - max(retrieval_score) OVER (PARTITION BY query)) AS x FROM rr WHERE next_POIId IS NOT NULL), cx AS (SELECT *, x / sum(x) OVER (PARTITION BY query) AS w FROM cw),
+cy AS (SELECT query, next_POIId, sum(w) AS w, count(*) AS n, max(retrieval_score) AS mx, avg(retrieval_score) AS mn, arg_min(next_category, rank) FILTER (next_category IS NOT NULL) AS next_category, count(DISTINCT case_session) AS sessions FROM cx GROUP BY query, next_POIId),
+cz AS (SELECT *, w / sum(w) OVER (PARTITION BY query) AS prob, CAST(row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, n DESC, round(mx, 9) DESC, next_POIId) AS INT) AS candidate_rank FROM cy QUALIFY candidate_rank <= {limit})"""
+
+
+@query(f"{_ST}, {_RETR}, {_cand_sql(3)} SELECT query, next_POIId, candidate_rank, round(w, 6) AS candidate_weight, n AS support_case_count, round(mx, 6) AS max_case_score, round(mn, 6) AS mean_case_score, round(prob, 6) AS candidate_prob, next_category, sessions AS support_session_count FROM cz")
 def candidate_places(spark, d):
     out = rt.candidates(_retrieved(spark, d), 1.0, RETRIEVAL.top_k_candidates)
     return out.select("query", "next_POIId", "candidate_rank", r6("candidate_weight", "candidate_weight"), "support_case_count", r6("max_case_score", "max_case_score"), r6("mean_case_score", "mean_case_score"), r6("candidate_prob", "candidate_prob"), "next_category", "support_session_count")
@@ -608,7 +615,7 @@ def candidate_places(spark, d):
 @query("""WITH c AS (SELECT l_orderkey AS query, CAST(l_suppkey AS VARCHAR) AS next_POIId, l_linenumber AS rank, CAST((l_partkey % 97) AS DOUBLE) / 97 AS s, CAST(l_suppkey % 7 AS VARCHAR) AS next_category FROM lineitem),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY query)) AS x FROM c), w AS (SELECT *, x / sum(x) OVER (PARTITION BY query) AS w FROM e),
 a AS (SELECT query, next_POIId, sum(w) AS cw, count(*) AS n, max(s) AS mx, avg(s) AS mn FROM w GROUP BY ALL)
-SELECT query, next_POIId, CAST(row_number() OVER (PARTITION BY query ORDER BY cw DESC, n DESC, mx DESC, next_POIId) AS INT) AS candidate_rank, round(cw, 6) AS candidate_weight, n AS support_case_count, round(mx, 6) AS max_case_score, round(mn, 6) AS mean_case_score FROM a QUALIFY candidate_rank <= 10""")
+SELECT query, next_POIId, CAST(row_number() OVER (PARTITION BY query ORDER BY round(cw, 9) DESC, n DESC, round(mx, 9) DESC, next_POIId) AS INT) AS candidate_rank, round(cw, 6) AS candidate_weight, n AS support_case_count, round(mx, 6) AS max_case_score, round(mn, 6) AS mean_case_score FROM a QUALIFY candidate_rank <= 10""")
 def candidates_of_orders(spark, d):
     """Candidate aggregation over order lines as cases: places are suppliers, scores come from parts."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
@@ -618,9 +625,9 @@ def candidates_of_orders(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
-SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(c, 5) AS cosine FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS rank FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0) WHERE rank <= 5""")
+SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(c, 5) AS cosine FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def cosine_top_k(spark, d):
-    out = rt.cosine_top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("id") % 25 == 0, 5)
+    out = rt.cosine_top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("id") % 20 == 0, 5)
     return out.select("query_id", "vec_id", "rank", F.round("cosine", 5).alias("cosine"))
 
 
@@ -635,15 +642,19 @@ def _evaluation(spark, d) -> DataFrame:
     return next_place.evaluate(assets, rows.filter(HELD_OUT))
 
 
-@query()
+_EVAL = f"""{_ST}, {_RETR}, {_cand_sql(5)}, go AS (SELECT SessionId, count(*) AS n_checkins, arg_max(PId, {{'t': Time, 'p': PId, 'e': event_id}}) AS gold FROM ss WHERE SessionId % 3 = 0 GROUP BY SessionId),
+pd AS (SELECT SessionId, n_checkins, n_checkins < 2 AS skipped, gold AS gold_next_poi_id, next_POIId AS selected_poi_id, CASE WHEN n_checkins >= 2 THEN next_POIId = gold END AS is_correct_at_1, CASE WHEN n_checkins < 2 THEN 'fewer than 2 check-ins' END AS skip_reason, CAST(NULL AS VARCHAR) AS error FROM go LEFT JOIN cz ON query = SessionId AND candidate_rank = 1)"""
+
+
+@query(f"{_EVAL} SELECT SessionId, n_checkins, skipped, skip_reason, gold_next_poi_id, selected_poi_id, is_correct_at_1, error FROM pd")
 def next_place_predictions(spark, d):
     """States, retrieval, candidates, prompts, stub answers and their reading, session by session."""
-    return _evaluation(spark, d).select("SessionId", "n_checkins", "skipped", "gold_next_poi_id", "selected_poi_id", "is_correct_at_1", "error")
+    return _evaluation(spark, d).select("SessionId", "n_checkins", "skipped", "skip_reason", "gold_next_poi_id", "selected_poi_id", "is_correct_at_1", "error")
 
 
-@query()
+@query(f"{_EVAL} SELECT count(*) AS evaluated, round(avg(CASE WHEN is_correct_at_1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1 FROM pd WHERE NOT skipped")
 def hit_at_1(spark, d):
-    return pr.hit_at_1(_evaluation(spark, d))
+    return pr.hit_at_1(_evaluation(spark, d)).withColumn("hit_at_1", F.round("hit_at_1", 6))
 
 
 @query("""SELECT event_id, CASE WHEN value IS NULL THEN NULL WHEN value / 100.0 <= 0.10 THEN 'The observed prefix is mostly exploratory, with little repetition so far.' WHEN value / 100.0 <= 0.30 THEN 'The observed prefix is moderately exploratory, with some repetition but mostly new stops.' ELSE 'The observed prefix shows noticeable repetition, suggesting a more routine or backtracking pattern.' END AS exploration,

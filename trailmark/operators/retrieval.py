@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions import vectors as vec
-from ..functions.geo import haversine_m, spatial_kernel
+from ..functions.geo import EARTH_KM
 from ..functions.timefn import bin_hour, cyclic_hour
+from .preprocess import held
 
 CONTEXT = (("curr_density_count", 0.0), ("curr_node_degree", 0.0))
 PREFIX = (("prefix_elapsed_min", 0.0), ("prefix_repeat_ratio", 0.0), ("prefix_unique_poi_count", 1.0), ("prefix_unique_category_count", 1.0))
@@ -72,44 +76,106 @@ def index_of(states: DataFrame, encoder: StateEncoder, keep: tuple[str, ...] = (
     return rows.select("SessionId", "decision_index", vec.unit("_v").alias("vector"), "curr_lat", "curr_lon", "next_POIId", "next_category", *extra)
 
 
+#: Cases of a block and queries of a band: what one task compares as two matrices.
+BLOCK, BAND = 8192, 4096
+#: Scores that agree to so many places are tied, so that rounding decides nothing.
+PLACES = 9
+
+
+def _scores(q: np.ndarray, c: np.ndarray, at: np.ndarray, to: np.ndarray, cfg: RetrievalConfig):
+    """(cosine, spatial, whole score) of some queries and all cases of a block; distances are taken once a place."""
+    cosine = q @ c.T
+    own, which = np.unique(to, axis=0, return_inverse=True)
+    la, lb = np.radians(at[:, :1]), np.radians(own[:, 0])
+    h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(own[:, 1] - at[:, 1:]) / 2) ** 2
+    near = np.exp(-2 * 1000 * EARTH_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h))) / cfg.tau_m)
+    spatial = np.nan_to_num(near)[:, which.ravel()]
+    return cosine, spatial, cfg.alpha * spatial + (1 - cfg.alpha) * cosine
+
+
+def _search(queries: DataFrame, cases: DataFrame, cfg: RetrievalConfig, keep: int, by_cosine: bool) -> DataFrame:
+    """The best ``keep`` cases of every block that a query visits; both have _block, and queries _band."""
+    kinds = {"query": queries.schema["query"], "case_session": cases.schema["SessionId"], "case_index": cases.schema["decision_index"], "next_POIId": cases.schema["next_POIId"], "next_category": cases.schema["next_category"]}
+    ddl = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", spatial_score double, cosine_score double, retrieval_score double"
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        of, picked, figures = [], [], []
+        if left.num_rows and right.num_rows:
+            q, c = _matrix(left["q_vector"]), _matrix(right["c_vector"])
+            at, to = (np.stack([t[f"{side}_{x}"].to_numpy().astype(np.float64) for x in ("lat", "lon")], axis=1) for t, side in ((left, "q"), (right, "c")))
+            mine, session, index = left["q_session"].to_numpy(), right["case_session"].to_numpy(), right["case_index"].to_numpy()
+            for lo in range(0, len(q), 128):
+                cosine, spatial, score = _scores(q[lo : lo + 128], c, at[lo : lo + 128], to, cfg)
+                order = np.round(cosine if by_cosine else score, PLACES)
+                order[session[None, :] == mine[lo : lo + 128, None]] = -np.inf
+                for i, row in enumerate(order):
+                    bar = np.partition(row, max(0, len(row) - keep))[max(0, len(row) - keep)]
+                    some = np.flatnonzero((row >= bar) & (row > -np.inf))
+                    some = some[np.lexsort((index[some], session[some], -row[some]))][:keep]
+                    of.append(np.full(len(some), lo + i))
+                    picked.append(some)
+                    figures.append(np.stack((spatial[i, some], cosine[i, some], score[i, some])))
+        of, picked = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, picked))
+        figures = np.concatenate(figures, axis=1) if len(figures) else np.zeros((3, 0))
+        own = [left["query"].take(pa.array(of)), *(right[c].take(pa.array(picked)) for c in list(kinds)[1:])]
+        return pa.table([*own, *map(pa.array, figures)], names=[*kinds, "spatial_score", "cosine_score", "retrieval_score"])
+
+    bands = max(1, int(queries.agg(F.coalesce(F.max("_band"), F.lit(0))).first()[0]) + 1)
+    named = lambda df, **names: df.select(*[F.col(c).alias(x) for x, c in names.items()])
+    cases = named(cases, block="_block", case_session="SessionId", case_index="decision_index", c_vector="vector", c_lat="curr_lat", c_lon="curr_lon", next_POIId="next_POIId", next_category="next_category")
+    cases = cases.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    queries = named(queries, block="_block", band="_band", query="query", q_session="SessionId", q_vector="vector", q_lat="curr_lat", q_lon="curr_lon")
+    return queries.groupBy("block", "band").cogroup(cases.groupBy("block", "band")).applyInArrow(best, ddl)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
+
+
 def retrieve(queries: DataFrame, cases: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), routing: str = "none", preselect: bool = False) -> DataFrame:
     """The best cases of other sessions for each query: rank, case, scores.
 
     ``queries`` has query, SessionId, vector, curr_lat, curr_lon and, for routing, prototypes (array).  Routing
     ``top1`` or ``union`` keeps to cases of the query's first, or all, prototypes, and falls back to all cases where
-    these hold none.  Score: alpha * exp(-distance / tau) + (1 - alpha) * cosine; ties by session and index.  With
-    ``preselect`` only the top_k * factor cases by cosine get the whole score, which may change results.
+    these hold none.  Score: alpha * exp(-distance / tau) + (1 - alpha) * cosine; scores that agree to PLACES are tied
+    and go by session and index.  With ``preselect`` only the top_k * factor cases by cosine get the whole score,
+    which may change results.  A missing position counts as far from everything.
 
-    Queries and cases meet on a prototype, or on blocks of cases that every query visits, so a join key always exists.
+    Cases lie in blocks, by prototype where queries are routed; a task compares a block with a band of queries as two
+    matrices and hands on the best of the block, so no row is made of a query and a case before that.
     """
-    spread = max(16, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cases = cases.select(*[F.col(c).alias(f"c_{c}") for c in cases.columns]).withColumn("_block", F.pmod(F.xxhash64("c_SessionId", "c_decision_index"), F.lit(spread)))
-    every = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    n, asked = cases.count(), queries.count()
+    bands = max(1, math.ceil(asked / BAND))
+    blocks = max(1, math.ceil(n / BLOCK))
+    hashed = lambda m: F.pmod(F.xxhash64("SessionId", "decision_index"), m)
+    keep = cfg.top_k_cases * (cfg.preselect_factor if preselect else 1)
+    banded = queries.withColumn("_band", F.pmod(F.xxhash64("query"), F.lit(bands)).cast("int"))
+    every = lambda q: q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     if routing == "none":
-        pairs = every.join(cases, "_block")
+        found = _search(every(banded), cases.withColumn("_block", hashed(F.lit(blocks))), cfg, keep, preselect)
     else:
+        sizes = cases.groupBy("proto_prototype_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_blocks"))
+        place = lambda at: F.col("proto_prototype_id").cast("long") * F.lit(1 << 32) + at
+        own = cases.join(sizes, "proto_prototype_id").withColumn("_block", place(hashed(F.col("_blocks"))))
         wanted = F.slice("prototypes", 1, 1) if routing == "top1" else F.col("prototypes")
-        routed = queries.withColumn("_p", F.explode(F.array_distinct(wanted)))
-        pairs = routed.join(cases, routed["_p"] == cases["c_proto_prototype_id"]).drop("_p").filter("c_SessionId <> SessionId")
-        served = pairs.select("query").distinct()
-        pairs = pairs.unionByName(every.join(served, "query", "left_anti").join(cases, "_block"))
-    pairs = pairs.filter("c_SessionId <> SessionId").drop("_block")
-    scored = pairs.withColumn("cosine_score", vec.dot("vector", "c_vector")).drop("vector", "c_vector")
+        routed = banded.withColumn("proto_prototype_id", F.explode(F.array_distinct(wanted))).join(sizes, "proto_prototype_id")
+        routed = routed.withColumn("_block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), place)))
+        found = held(_search(routed, own, cfg, keep, preselect))
+        left = banded.join(found.select("query").distinct(), "query", "left_anti")
+        found = found.unionByName(_search(every(left), cases.withColumn("_block", hashed(F.lit(blocks))), cfg, keep, preselect))
     w = Window.partitionBy("query")
+    best = lambda c: F.row_number().over(w.orderBy(F.desc(F.round(c, PLACES)), "case_session", "case_index"))
     if preselect:
-        near = F.row_number().over(w.orderBy(F.desc("cosine_score"), "c_SessionId", "c_decision_index"))
-        scored = scored.withColumn("_r", near).filter(F.col("_r") <= cfg.top_k_cases * cfg.preselect_factor).drop("_r")
-    scored = scored.withColumn("spatial_score", spatial_kernel(haversine_m("curr_lat", "curr_lon", "c_curr_lat", "c_curr_lon"), cfg.tau_m))
-    scored = scored.withColumn("retrieval_score", cfg.alpha * F.col("spatial_score") + (1 - cfg.alpha) * F.col("cosine_score"))
-    rank = F.row_number().over(w.orderBy(F.desc("retrieval_score"), "c_SessionId", "c_decision_index"))
-    out = scored.withColumn("rank", rank).filter(F.col("rank") <= cfg.top_k_cases)
-    return out.select("query", "rank", F.col("c_SessionId").alias("case_session"), F.col("c_decision_index").alias("case_index"), F.col("c_next_POIId").alias("next_POIId"), F.col("c_next_category").alias("next_category"), "retrieval_score", "spatial_score", "cosine_score")
+        found = found.withColumn("_r", best("cosine_score")).filter(F.col("_r") <= keep).drop("_r")
+    out = found.withColumn("rank", best("retrieval_score")).filter(F.col("rank") <= cfg.top_k_cases)
+    return out.select("query", "rank", "case_session", "case_index", "next_POIId", "next_category", "retrieval_score", "spatial_score", "cosine_score")
 
 
 def candidates(cases: DataFrame, temperature: float = 1.0, limit: int = 10) -> DataFrame:
     """Next places of a query's cases: softmax of the scores, summed by place; the best ``limit``.
 
-    Cases without a next place go first.  Order: weight, cases, best score, then the place's id."""
+    Cases without a next place go first.  Order: weight, cases, best score (weights and scores to PLACES), then the
+    place's id."""
     if temperature <= 0:
         raise ValueError("temperature must be over 0")
     w = Window.partitionBy("query")
@@ -119,15 +185,16 @@ def candidates(cases: DataFrame, temperature: float = 1.0, limit: int = 10) -> D
     first = F.min_by("next_category", F.when(F.col("next_category").isNotNull(), F.col("rank")))
     out = rows.groupBy("query", "next_POIId").agg(F.sum("_w").alias("candidate_weight"), F.count(F.lit(1)).alias("support_case_count"), F.max("retrieval_score").alias("max_case_score"), F.avg("retrieval_score").alias("mean_case_score"), first.alias("next_category"), F.count_distinct("case_session").alias("support_session_count"))
     out = out.withColumn("candidate_prob", F.col("candidate_weight") / F.sum("candidate_weight").over(w))
-    order = w.orderBy(F.desc("candidate_weight"), F.desc("support_case_count"), F.desc("max_case_score"), "next_POIId")
+    order = w.orderBy(F.desc(F.round("candidate_weight", PLACES)), F.desc("support_case_count"), F.desc(F.round("max_case_score", PLACES)), "next_POIId")
     return out.withColumn("candidate_rank", F.row_number().over(order)).filter(F.col("candidate_rank") <= limit)
 
 
-def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int | None = None) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k most similar other rows by cosine for each row that ``queries`` picks; ties to smaller ids."""
-    blocks = blocks or max(16, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = vectors.select(F.col(id_col).alias("id"), vec.unit(F.col(vector_col).cast("array<double>")).alias("v")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = rows.filter(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    pairs = asked.join(rows, "_b").filter("id <> query_id").select("query_id", F.col("id").alias("vec_id"), vec.dot("q", "v").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    nowhere = [F.lit(0.0).alias("curr_lat"), F.lit(0.0).alias("curr_lon")]
+    rows = vectors.select(F.col(id_col).alias("id"), vec.unit(F.col(vector_col).cast("array<double>")).alias("vector"))
+    asked = rows.filter(queries).select(F.col("id").alias("query"), F.col("id").alias("SessionId"), "vector", *nowhere)
+    none = F.lit(None).cast("string")
+    cases = rows.select(F.col("id").alias("SessionId"), F.lit(0).alias("decision_index"), "vector", *nowhere, none.alias("next_POIId"), none.alias("next_category"))
+    found = retrieve(asked, cases, RetrievalConfig(spatial=0.0, top_k_cases=k))
+    return found.select(F.col("query").alias("query_id"), F.col("case_session").alias("vec_id"), F.col("cosine_score").alias("cosine"), "rank")

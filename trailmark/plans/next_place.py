@@ -62,9 +62,10 @@ def predict(assets: Assets, prefixes: DataFrame, generator: pr.Generator = pr.st
 
 
 def evaluate(assets: Assets, sessions: DataFrame, generator: pr.Generator = pr.stub_generator, min_checkins: int = 2, **how) -> DataFrame:
-    """One row a session: its last stop is held out and predicted from the rest; too short ones are skipped."""
+    """One row a session: its last stop is held out and predicted from the rest; too short ones are skipped, with the reason."""
     gold = sessions.groupBy("SessionId").agg(F.count(F.lit(1)).alias("n_checkins"), F.max_by("PId", F.struct(*op.order_of(sessions, "Time", "PId"))).alias("gold_next_poi_id"))
     out = predict(assets, op.partial_sessions(sessions), generator, **how)
     rows = gold.join(out.select(F.col("query").alias("SessionId"), "selected_poi_id", "llm_raw_text", F.coalesce("error", F.when(F.size("fallback_ids") == 0, "no candidates")).alias("error")), "SessionId", "left")
     rows = rows.withColumn("skipped", F.col("n_checkins") < min_checkins)
+    rows = rows.withColumn("skip_reason", F.when(F.col("skipped"), F.lit(f"fewer than {min_checkins} check-ins")))
     return rows.withColumn("is_correct_at_1", F.when(~F.col("skipped"), F.coalesce(F.col("selected_poi_id") == F.col("gold_next_poi_id"), F.lit(False))))
