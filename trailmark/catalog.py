@@ -5,8 +5,11 @@ Floats are rounded to six places; arrays are joined to text, so that both engine
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from .operators import cases as cs
 from .operators import features as ft
 from .operators import preprocess as op
 from .operators import prompts as pr
+from .operators import prototypes as pt
 from .operators import retrieval as rt
 from .operators import spatial as sp
 from .operators import states as st
@@ -28,6 +32,8 @@ from .streaming.sessions import live_sessions
 GAP = 6 * 3600
 #: Settings of the decision and retrieval queries: day-long sessions, so that they hold several stops.
 DAY = 24 * 3600
+#: The sessions that ask; the others are the cases.
+HELD_OUT = "SessionId % 3 = 0"
 FREQUENT = CanonicalConfig(min_user_checkins=60, min_poi_unique_users=9)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,7 +125,7 @@ def csv_round_trip(spark, d):
     """Check-ins written as CSV in the warehouse and read with a schema."""
     from .sources.files import read_csv, write_csv
 
-    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trailmark_csv_" + str(abs(hash(d)))
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trailmark_csv_" + str(zlib.crc32(d.encode()))
     rows = fx.checkins(spark, d).withColumn("Time", F.date_format("Time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     write_csv(rows, path)
     back = read_csv(spark, path, "event_id long, UId long, PId string, Category string, Latitude double, Longitude double, Time timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -225,7 +231,7 @@ def split_tables(spark, d):
     """Both tables written with a folder for each split tag; one split is read back."""
     from .sources.files import write_by_split
 
-    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trailmark_splits_" + str(abs(hash(d)))
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trailmark_splits_" + str(zlib.crc32(d.encode()))
     rows = op.held(_sessions(spark, d))
     sessions = op.split_sessions(op.session_boundaries(rows))
     write_by_split(op.attach_split(rows, sessions), sessions, path)
@@ -414,6 +420,94 @@ def prefixes_routed(spark, d):
     return prototypes.route(frozen, op.partial_sessions(rows)).drop("probability")
 
 
+def _cell_sql(level: int) -> str:
+    step = f"(360.0 / (1.0 * pow(7, {level / 2}) * 8))"
+    return f"'g{level}:' || CAST(floor((lat + 90.0) / {step}) AS BIGINT) || ':' || CAST(floor((lon + 180.0) / {step}) AS BIGINT)"
+
+
+def _vector_sql(stops: str) -> str:
+    """The nine numbers of sessions without categories, scaled by the sessions that aren't held out; ``stops`` has the
+    stops to look at."""
+    times = {p: f"avg(CASE WHEN {_TOD} = '{p}' THEN 1.0 ELSE 0 END)" for p in ft.PARTS}
+    return f"""st AS ({stops}), t AS (SELECT SessionId, {', '.join(f'{x} AS tod_{p}' for p, x in times.items())}, CASE WHEN isodow(min(Time)) >= 6 THEN 1.0 ELSE 0.0 END AS weekend, ln(1 + date_diff('microsecond', min(Time), max(Time)) / CAST(6e7 AS DOUBLE)) AS l FROM st GROUP BY SessionId),
+c AS (SELECT SessionId, avg(Latitude) AS a, avg(Longitude) AS o FROM st GROUP BY SessionId),
+rg AS (SELECT st.SessionId, sqrt(avg({_km('Latitude', 'Longitude', 'a', 'o')} ** 2)) AS radius_km FROM st JOIN c ON st.SessionId = c.SessionId GROUP BY st.SessionId),
+cn AS (SELECT SessionId, {_cell_sql(8).replace('lat ', 'Latitude ').replace('lon ', 'Longitude ')} AS cell, count(*) AS n FROM st GROUP BY ALL), pp AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY SessionId) AS DOUBLE) AS p FROM cn),
+en AS (SELECT SessionId, CASE WHEN count(*) > 1 THEN -sum(p * ln(p + 1e-12)) / ln(count(*)) ELSE -sum(p * ln(p + 1e-12)) END AS token_entropy FROM pp GROUP BY SessionId),
+o AS (SELECT *, row_number() OVER (PARTITION BY SessionId ORDER BY Time, PId, event_id) <= greatest(1, count(*) OVER (PARTITION BY SessionId) // 2) AS early FROM st),
+q AS (SELECT SessionId, avg(Latitude) FILTER (early) AS a, avg(Longitude) FILTER (early) AS b, avg(Latitude) FILTER (NOT early) AS c, avg(Longitude) FILTER (NOT early) AS d FROM o GROUP BY SessionId),
+v0 AS (SELECT t.*, radius_km, token_entropy, coalesce({_km('q.a', 'q.b', 'q.c', 'q.d')}, 0) AS displacement_km FROM t JOIN rg ON t.SessionId = rg.SessionId JOIN en ON t.SessionId = en.SessionId JOIN q ON t.SessionId = q.SessionId),
+v AS (SELECT SessionId, [tod_morning, tod_afternoon, tod_evening, tod_late_night, weekend, {', '.join(f"({x} - (SELECT avg({x}) FROM v0 WHERE SessionId % 3 <> 0)) / (SELECT stddev_pop({x}) FROM v0 WHERE SessionId % 3 <> 0)" for x in ('l', *ft.SPATIAL))}] AS f FROM v0)"""
+
+
+_SHOW_VECTOR = "array_to_string(list_transform(f, lambda x: printf('%.5f', round(x, 5) + 0.0)), ' ')"
+
+
+def _vectors(rows: DataFrame) -> tuple[DataFrame, prototypes.Scales]:
+    """Vectors of all sessions without categories, by the scales of those that aren't held out."""
+    _, scales, _ = prototypes.session_vectors(rows.filter("SessionId % 3 <> 0"), dense=False)
+    return prototypes.session_vectors(rows, scales, dense=False)[0], scales
+
+
+def _vector_text(rows: DataFrame) -> DataFrame:
+    return rows.select("SessionId", F.array_join(F.transform("features", lambda x: F.format_string("%.5f", F.round(x, 5) + 0.0)), " ").alias("vector"))
+
+
+_PREFIX_STOPS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY SessionId ORDER BY Time, PId, event_id) AS r, count(*) OVER (PARTITION BY SessionId) AS n FROM ss) WHERE n >= 2 AND r < n"
+
+
+def _mixture() -> pt.Mixture:
+    """A mixture of three by arithmetic, whose posterior SQL can compute."""
+    means = np.array([[(3 * k + i) % 5 / 5 for i in range(9)] for k in range(3)])
+    return pt.Mixture(np.array([0.5, 0.3, 0.2]), means, np.full((3, 9), 0.5) + np.arange(3)[:, None] / 4, "diag")
+
+
+def _posterior_sql() -> str:
+    m = _mixture()
+    joint = [f"{math.log(w)} - 0.5 * ({len(mean) * math.log(2 * math.pi) + float(np.log(cov).sum())} + {' + '.join(f'(f[{i + 1}] - {x}) ** 2 / {c}' for i, (x, c) in enumerate(zip(mean, cov)))})" for w, mean, cov in zip(m.weights, m.means, m.covariances)]
+    return f"""j AS (SELECT SessionId, unnest([0, 1, 2]) AS k, unnest([{', '.join(joint)}]) AS j FROM v), ps AS (SELECT SessionId, k, exp(j - max(j) OVER s) / sum(exp(j)) OVER s * exp(max(j) OVER s) AS p FROM j WINDOW s AS (PARTITION BY SessionId)),
+pa AS (SELECT SessionId, list(k ORDER BY p DESC, k) AS ks, list(p ORDER BY p DESC, k) AS ps, -sum(p * ln(p + 1e-12)) AS h FROM ps GROUP BY SessionId)"""
+
+
+@query(f"{_DD}, {_vector_sql('SELECT * FROM ss')} SELECT SessionId, {_SHOW_VECTOR} AS vector FROM v")
+def session_vectors_without_categories(spark, d):
+    return _vector_text(_vectors(op.held(_sessions(spark, d, DAY)))[0])
+
+
+@query(f"{_DD}, {_vector_sql(_PREFIX_STOPS)} SELECT SessionId, {_SHOW_VECTOR} AS vector FROM v WHERE SessionId % 3 = 0")
+def prefix_vectors_frozen(spark, d):
+    """Prefixes of the held-out sessions, transformed alone by what the prefixes of the others were scaled by."""
+    partial = op.held(op.partial_sessions(_sessions(spark, d, DAY)))
+    _, scales, _ = prototypes.session_vectors(partial.filter("SessionId % 3 <> 0"), dense=False)
+    return _vector_text(prototypes.session_vectors(partial.filter(HELD_OUT), scales, dense=False)[0])
+
+
+@query(f"{_DD}, {_vector_sql('SELECT * FROM ss')}, {_posterior_sql()}, mt AS (SELECT SessionId, min(UId) AS UId, min(Time) AS session_start_time, count(*) AS session_len FROM ss GROUP BY SessionId) SELECT pa.SessionId, UId, session_start_time, session_len, CAST(ks[1] AS INT) AS prototype_id, round(ps[1], 5) AS confidence, round(ps[1] - ps[2], 5) AS top2_gap, CAST(ks[2] AS INT) AS second, CAST(ks[3] AS INT) AS third, round(ps[3], 5) AS third_prob FROM pa JOIN mt ON pa.SessionId = mt.SessionId")
+def sessions_assigned(spark, d):
+    """Posteriors of a given mixture, the best three prototypes, and the sessions' own columns beside them."""
+    rows = op.held(_sessions(spark, d, DAY))
+    meta = op.session_boundaries(rows).select("SessionId", "UId", "session_start_time", "session_len")
+    out = pt.with_meta(pt.top_prototypes(pt.posteriors(_vectors(rows)[0], _mixture())), meta)
+    return out.select("SessionId", "UId", "session_start_time", "session_len", "prototype_id", F.round("prototype_confidence", 5).alias("confidence"), F.round("prototype_top2_gap", 5).alias("top2_gap"), F.col("top2_prototype_id").alias("second"), F.col("top3_prototype_id").alias("third"), F.round("top3_prototype_prob", 5).alias("third_prob"))
+
+
+@query(f"{_DD}, {_vector_sql('SELECT * FROM ss')}, {_posterior_sql()}, n AS (SELECT ks[1] AS k, count(*) AS n, avg(ps[1]) AS p FROM pa GROUP BY ALL), e AS (SELECT unnest([0, 1, 2]) AS k, unnest([0.5, 0.3, 0.2]) AS w) SELECT CAST(e.k AS INT) AS prototype_id, round(CAST(w AS DOUBLE), 6) AS mixture_weight, coalesce(n, 0) AS train_hard_count, round(coalesce(p, 0), 5) AS mean_self_posterior, round(coalesce(n, 0) / CAST((SELECT count(*) FROM pa) AS DOUBLE), 6) AS train_hard_fraction FROM e LEFT JOIN n ON e.k = n.k")
+def prototypes_summarised(spark, d):
+    assigned = pt.top_prototypes(pt.posteriors(_vectors(op.held(_sessions(spark, d, DAY)))[0], _mixture()))
+    out = pt.prototype_summary(op.held(assigned), _mixture())
+    return out.select("prototype_id", r6("mixture_weight", "mixture_weight"), "train_hard_count", F.round("mean_self_posterior", 5).alias("mean_self_posterior"), r6("train_hard_fraction", "train_hard_fraction"))
+
+
+@query(f"{_DD}, {_vector_sql(_PREFIX_STOPS)}, {_posterior_sql()}, z AS (SELECT SessionId, count(*) >= 3 AS ok FROM st GROUP BY SessionId) SELECT pa.SessionId, ok AS routing_applied, CASE WHEN ok THEN CAST(ks[1] AS INT) END AS prototype_id, CASE WHEN ok THEN CAST(ks[2] AS INT) END AS second, CASE WHEN ok THEN round(h, 5) END AS entropy FROM pa JOIN z ON pa.SessionId = z.SessionId WHERE pa.SessionId % 3 = 0")
+def prefixes_routed_by_given_mixture(spark, d):
+    """Held-out prefixes through frozen scales and a given mixture; those of less than three stops aren't routed."""
+    partial = op.held(op.partial_sessions(_sessions(spark, d, DAY)))
+    _, scales, _ = prototypes.session_vectors(partial.filter("SessionId % 3 <> 0"), dense=False)
+    frozen = prototypes.Frozen(scales, None, _mixture(), [], SpatialConfig.coarse_resolution)
+    out = prototypes.route(frozen, partial.filter(HELD_OUT))
+    return out.select("SessionId", "routing_applied", "prototype_id", F.col("top2_prototype_id").alias("second"), F.round("posterior_entropy", 5).alias("entropy"))
+
+
 # ------------------------------------------------------------------ space
 
 SPATIAL = SpatialConfig(density_radius_m=400.0)
@@ -443,11 +537,6 @@ def range_pairs_1km(spark, d):
     return sp.range_join(p, p, 1000.0).filter("l_poi <> r_poi").select(F.col("l_poi").alias("src"), F.col("r_poi").alias("dst"), F.round("distance_m", 4).alias("distance_m"))
 
 
-def _cell_sql(level: int) -> str:
-    step = f"(360.0 / (1.0 * pow(7, {level / 2}) * 8))"
-    return f"'g{level}:' || CAST(floor((lat + 90.0) / {step}) AS BIGINT) || ':' || CAST(floor((lon + 180.0) / {step}) AS BIGINT)"
-
-
 @query(f"{_CK}, {fx.PLACES_SQL} SELECT poi, {_cell_sql(8)} AS coarse, {_cell_sql(9)} AS fine FROM pl")
 def region_cells(spark, d):
     return fx.places(spark, d).select("poi", geo.cell_id("lat", "lon", 8).alias("coarse"), geo.cell_id("lat", "lon", 9).alias("fine"))
@@ -573,10 +662,6 @@ r0 AS (SELECT q.SessionId AS query, c.SessionId AS case_session, c.decision_inde
 r1 AS (SELECT *, 0.3 * spatial_score + 0.7 * cosine_score AS retrieval_score FROM r0), rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(retrieval_score, 9) DESC, case_session, case_index) AS rank FROM r1) WHERE rank <= 5)"""
 
 
-#: The sessions that ask; the others are the cases.
-HELD_OUT = "SessionId % 3 = 0"
-
-
 def _retrieved(spark, d, asking: str = HELD_OUT, **how) -> DataFrame:
     states, cases, encoder = _encoded(spark, d)
     last = states.filter(asking)
@@ -723,8 +808,8 @@ def cases_ranked(spark, d):
     """Pair features, a perceptron trained on them, and the best candidate sessions of each query."""
     rows, pairs = _candidate_pairs(spark, d)
     partial = op.held(op.partial_sessions(rows))
-    categories = ft.Categories.fit(op.held(prototypes.category_documents(partial.filter("SessionId % 3 <> 0"))))
-    features, *_ = prototypes.session_vectors(partial, categories=categories)
+    _, scales, categories = prototypes.session_vectors(partial.filter("SessionId % 3 <> 0"))
+    features, *_ = prototypes.session_vectors(partial, scales, categories=categories)
     last = op.held(cs.last_stops(rows))
     labelled = op.held(cs.pair_features(cs.with_labels(pairs, last), features))
     size = labelled.select(F.size("pair_features")).first()

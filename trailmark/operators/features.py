@@ -166,12 +166,18 @@ class Categories:
         return documents.select("SessionId").join(dense, "SessionId", "left").withColumn("category_dense", F.coalesce("category_dense", zeros))
 
 
-def assemble(temporal: DataFrame, spatial: DataFrame, dense: DataFrame | None = None) -> DataFrame:
-    """SessionId and one vector: six temporal numbers, the category vector, three spatial numbers (each scaled by its
-    mean and population deviation over the table)."""
-    cols = ["radius_km", "token_entropy", "displacement_km"]
-    row = spatial.agg(*[f(c) for c in cols for f in (F.avg, F.stddev_pop)]).first()
-    scaled = [((F.col(c) - F.lit(row[2 * i] or 0.0)) / F.lit(row[2 * i + 1] or 1.0)) for i, c in enumerate(cols)]
+SPATIAL = ("radius_km", "token_entropy", "displacement_km")
+
+
+def spatial_scale(spatial: DataFrame) -> list[tuple[float, float]]:
+    """Mean and population deviation of each spatial number of the training sessions; a deviation of 0 counts as 1."""
+    row = spatial.agg(*[f(c) for c in SPATIAL for f in (F.avg, F.stddev_pop)]).first()
+    return [(float(row[2 * i] or 0.0), float(row[2 * i + 1] or 1.0)) for i in range(len(SPATIAL))]
+
+
+def assemble(temporal: DataFrame, spatial: DataFrame, scale: list[tuple[float, float]], dense: DataFrame | None = None) -> DataFrame:
+    """SessionId and one vector: six temporal numbers, the category vector, three spatial numbers (by ``scale``)."""
+    scaled = [(F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in zip(SPATIAL, scale, strict=True)]
     out = temporal.join(spatial, "SessionId")
     parts = [F.array(*[F.col(f"tod_{p}") for p in PARTS], F.col("weekend").cast("double"), F.col("duration_z"))]
     if dense is not None:

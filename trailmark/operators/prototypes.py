@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import PrototypeConfig
 from ..functions.vectors import entropy
+from ..schema import require_unique
 
 #: Rows that starting points are drawn from.
 _SEEDS = 4096
@@ -168,6 +169,11 @@ def top_prototypes(p: DataFrame, top_m: int = 3) -> DataFrame:
     return p.drop("_r")
 
 
+def with_meta(assigned: DataFrame, meta: DataFrame, key: str = "SessionId") -> DataFrame:
+    """assigned with the columns of meta, which must have one row a key; sessions without one get nulls."""
+    return assigned.join(require_unique(meta, key), key, "left")
+
+
 def prototype_summary(assigned: DataFrame, mixture: Mixture) -> DataFrame:
     """One row a component, those without sessions as well."""
     spark = assigned.sparkSession

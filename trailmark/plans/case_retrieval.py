@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cases as cs
-from ..operators import features as ft
 from ..operators import preprocess as op
 from ..sources import files
-from .prototypes import category_documents, session_vectors
+from .prototypes import session_vectors
 
 
 @dataclass
@@ -27,8 +26,8 @@ def run_case_retrieval(history: DataFrame, queries: DataFrame, assignments: Data
     pool = assignments.join(history.select("SessionId").distinct(), "SessionId", "left_semi")
     asked = assignments.join(queries.select("SessionId").distinct(), "SessionId", "left_semi")
     both = history.unionByName(queries)
-    categories = ft.Categories.fit(op.held(category_documents(op.partial_sessions(history))))
-    features = op.held(session_vectors(op.partial_sessions(both), categories=categories)[0])
+    _, scales, categories = session_vectors(op.held(op.partial_sessions(history)))
+    features = op.held(session_vectors(op.partial_sessions(both), scales, categories=categories)[0])
     last = op.held(cs.last_stops(both))
     learn = cs.pair_features(cs.with_labels(cs.candidate_sessions(pool, pool, per_prototype), last, km), features)
     size = features.select(F.size("features")).first()

@@ -15,12 +15,20 @@ from ..operators import preprocess as op
 from ..operators import prototypes as pt
 
 
+@dataclass
+class Scales:
+    """Means and deviations of the log duration and of the spatial numbers of the training sessions."""
+
+    duration: tuple[float, float]
+    spatial: list[tuple[float, float]]
+
+
 @dataclass
 class Frozen:
     """All that prefixes are transformed with: fitted on training sessions once."""
 
-    duration: tuple[float, float]
-    categories: ft.Categories
+    scales: Scales
+    categories: ft.Categories | None
     mixture: pt.Mixture
     selection: list[dict]
     resolution: int
@@ -31,26 +39,31 @@ def category_documents(checkins: DataFrame) -> DataFrame:
     return ft.category_documents(checkins, tx.taxonomy(checkins.sparkSession, []))
 
 
-def session_vectors(checkins: DataFrame, duration: tuple[float, float] | None = None, resolution: int = SpatialConfig.coarse_resolution, categories: ft.Categories | None = None) -> tuple[DataFrame, tuple[float, float], ft.Categories]:
-    """Vectors of time, categories and space; what isn't given is fitted on checkins, and returned."""
+def session_vectors(checkins: DataFrame, scales: Scales | None = None, resolution: int = SpatialConfig.coarse_resolution, categories: ft.Categories | None = None, dense: bool = True) -> tuple[DataFrame, Scales, ft.Categories | None]:
+    """Vectors of time, categories and space; what isn't given is fitted on checkins, and returned.  Without ``dense``
+    there is no category block."""
     temporal = ft.temporal_features(checkins)
-    duration = duration or ft.duration_scale(temporal)
     spatial = op.held(ft.spatial_features(checkins, cell_id("Latitude", "Longitude", resolution)))
-    documents = op.held(category_documents(checkins))
-    categories = categories or ft.Categories.fit(documents)
-    return ft.assemble(ft.scaled_duration(temporal, duration), spatial, categories.transform(documents)), duration, categories
+    scales = scales or Scales(ft.duration_scale(temporal), ft.spatial_scale(spatial))
+    block = None
+    if dense:
+        documents = op.held(category_documents(checkins))
+        categories = categories or ft.Categories.fit(documents)
+        block = categories.transform(documents)
+    return ft.assemble(ft.scaled_duration(temporal, scales.duration), spatial, scales.spatial, block), scales, categories
 
 
 def fit(train: DataFrame, cfg: PrototypeConfig = PrototypeConfig(), validation: DataFrame | None = None) -> tuple[Frozen, DataFrame]:
     """(frozen parts, assignments of the training sessions)."""
-    vectors, duration, categories = session_vectors(train)
+    vectors, scales, categories = session_vectors(train)
     vectors = op.held(vectors)
-    held_out = session_vectors(validation, duration, categories=categories)[0] if validation is not None else None
+    held_out = session_vectors(validation, scales, categories=categories)[0] if validation is not None else None
     mixture, table = pt.select_mixture(vectors, held_out, cfg)
-    return Frozen(duration, categories, mixture, table, SpatialConfig.coarse_resolution), pt.top_prototypes(pt.posteriors(vectors, mixture), cfg.top_m)
+    return Frozen(scales, categories, mixture, table, SpatialConfig.coarse_resolution), pt.top_prototypes(pt.posteriors(vectors, mixture), cfg.top_m)
 
 
 def route(frozen: Frozen, prefixes: DataFrame, cfg: PrototypeConfig = PrototypeConfig()) -> DataFrame:
-    vectors, *_ = session_vectors(prefixes, frozen.duration, frozen.resolution, frozen.categories)
+    """Prototypes of prefixes, whose vectors are made with nothing but what was fitted on the training sessions."""
+    vectors, *_ = session_vectors(prefixes, frozen.scales, frozen.resolution, frozen.categories, frozen.categories is not None)
     sizes = prefixes.groupBy("SessionId").agg(F.count(F.lit(1)).alias("_size"))
     return pt.route(vectors.join(sizes, "SessionId"), frozen.mixture, F.col("_size"), cfg)
