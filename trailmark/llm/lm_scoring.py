@@ -12,7 +12,7 @@ Probability of a token after its history h: ``(1 - w) * P(shorter history) + w *
 the filter knows h, else P(shorter history); with no history ``(c + 1) / (N + V + 1)``.
 
 Also returned is the exact add-one unigram score: buckets of single tokens answer with the exact count as well.  There
-a token is told by 128 bits (10^11 different tokens: a chance of 10^-17 that two are taken for one).
+a token is told by 96 bits (10^11 different tokens: a chance below 10^-6 that two are taken for one).
 
 Tokens: words outside 0x20 and 0x09-0x0D, A-Z lower-cased, then one end token a text.  Defined cases: null and
 empty texts are one end token; a text of any length is handled whole; null ids pass through; no training text:
@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import _chunks as C
 
-END = C.mix(np.array([0x5EED, 0xE2D], np.uint64))
+END = C.mix(np.array([0x5EED, 0xE2D], np.uint64)) >> np.array([0, 64 - 8 * 4], np.uint64)
 LEVELS = 96
 #: Bits of a filter for each entry, and probes for each.
 BITS_EACH, PROBES = 8, 5
 #: Bits of a key of order 2 and above below those of its bucket: with BUCKET_KEYS keys in a bucket an n-gram is taken
 #: for another with a chance of 2^-12, where a filter of BITS_EACH bits errs with 2 %.
 KEY_BITS = 32
+#: Bytes of the second hash of a single token.
+TWO = 4
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     plain = np.ones(int(counts.sum()), bool)
     plain[at] = False
     out = np.empty((2, len(plain)), np.uint64)
-    for h, own, end in zip(out, (w.hash, w.hash2), END, strict=True):
+    for h, own, end in zip(out, (w.hash, w.hash2 >> np.uint64(64 - 8 * TWO)), END, strict=True):
         h[plain], h[at] = own, end
     return *out, np.repeat(np.arange(len(counts)), counts), counts
 
@@ -111,13 +113,13 @@ def grams(h: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray
 def pack(key: np.ndarray, c: np.ndarray, two: np.ndarray | None = None) -> bytes:
     """Ascending keys as the gaps between them, their counts, as wide as the largest needs, and second hashes."""
     wide = max(1, (int(c.max()).bit_length() + 7) // 8)
-    return C.pack_ascending(key) + bytes([wide]) + C.to_bytes(c, wide) + (b"" if two is None else C.to_bytes(two, 8))
+    return C.pack_ascending(key) + bytes([wide]) + C.to_bytes(c, wide) + (b"" if two is None else C.to_bytes(two, TWO))
 
 
 def unpack(raw: bytes, m: int, two: bool) -> tuple[np.ndarray, ...]:
     key, at = C.unpack_ascending(raw, m)
     c = C.from_bytes(raw, m, raw[at], at + 1)
-    return key, c, C.from_bytes(raw, m, 8, at + 1 + raw[at] * m) if two else key
+    return key, c, C.from_bytes(raw, m, TWO, at + 1 + raw[at] * m) if two else key
 
 
 def log10(c: list[np.ndarray], at: list[np.ndarray], size: int, weight: float) -> np.ndarray:
