@@ -17,7 +17,7 @@ from ._chunks import cut
 #: Keys that are broadcast at most.
 HOT_KEYS = 10_000
 #: Rows of one key that a task may take at any rate.
-FEW_ROWS = 1_000
+FEW_ROWS = 200
 
 
 def many_rows(total: int) -> int:
