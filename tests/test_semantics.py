@@ -271,6 +271,21 @@ def test_session_vectors_tell_categories_apart(spark):
     assert not new[7][6 : 6 + k].any() and new[8][6 : 6 + k] == pytest.approx(got[1][6 : 6 + k])
 
 
+def test_a_session_alone_has_the_vector_it_has_in_its_table(spark):
+    stop = lambda s, i: (s, s * 10 + i, str(i), "c", 40.7 + 0.01 * i * s, -74.0, T0 + dt.timedelta(hours=(s + 1) * i))
+    schema = "SessionId long, event_id long, PId string, Category string, Latitude double, Longitude double, Time timestamp"
+    rows = spark.createDataFrame([stop(s, i) for s in range(4) for i in range(2 + s)], schema)
+    vectors, scales, _ = prototypes.session_vectors(rows, dense=False)
+    got = {r.SessionId: list(r.features) for r in vectors.collect()}
+    alone = prototypes.session_vectors(rows.filter("SessionId = 2"), scales, dense=False)[0].collect()
+    assert len(alone) == 1 and list(alone[0].features) == pytest.approx(got[2]) and any(alone[0].features[-3:])
+
+
+def test_entry_works_where_a_library_is_missing():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and len(e.oracle_sql()) > 40 and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
 def test_answers(spark):
     texts = ['{"selected_poi_id": "7"}', '```json\n{"selected_poi_id": 7}\n```', '{"selected_poi_id": " 07 "}', '{"selected_poi_id": "", "ranking": [{"poi_id": "b"}]}', '{"selected_poi_id": "zz"}', "not json", "[1]", None]
     rows = spark.createDataFrame([(i, t, ["a", "b", "7"]) for i, t in enumerate(texts)] + [(99, '{"selected_poi_id": "a"}', [])], "i int, llm_raw_text string, fallback_ids array<string>")
