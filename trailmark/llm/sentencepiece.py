@@ -23,7 +23,7 @@ Defined cases: null and empty texts have no ids and decode to the empty text; a
 itself decodes to spaces there; a text of any length is encoded whole; rows that repeat an id or a text are encoded
 each; null ids pass through; of equal best paths the one whose last edge starts first counts, of equal merges the
 leftmost; an empty table gives no rows; other columns pass through if asked for in ``keep``, whatever their names.
-A unit is told by 128 bits of hash.
+A unit is told by 128 bits of hash; the lattice knows it by its bucket and its number there.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ CHUNK_BYTES = 4 << 20
 BROADCAST_PIECES = 250_000
 #: Units up to this many characters are folded; their boundaries fit the bits of one long.
 LONGEST_UNIT = 62
+#: Bits of the number of a unit in its bucket; the bucket lies above.
+NUMBER_BITS = 40
 
 
 class Pieces:
@@ -155,9 +157,9 @@ class Units:
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(h, g, size, edges): for each unit w its length and an edge (rank, i, l, ...) for each piece in it, by rank and place.
+    """(u, size, edges): for each unit w its length and an edge (rank, i, l, ...) for each piece in it, by rank and place.
 
-    ``ends`` and ``span`` are the bits of its two ends and of all its boundaries.  The words lie in partitions by h, so
+    ``ends`` and ``span`` are the bits of its two ends and of all its boundaries.  The words lie in partitions by u, so
     the grouping needs no further exchange.
     """
     spark = words.sparkSession
@@ -165,12 +167,12 @@ def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     if len(pieces.ranked) <= BROADCAST_PIECES:
         table = F.broadcast(table)
     # two plain explodes run as generated code; one over an array of structs would be interpreted
-    found = words.select("h", "g", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
-    found = found.select("h", "g", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
-    found = found.select("h", "g", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
+    found = words.select("u", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
+    found = found.select("u", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
+    found = found.select("u", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
     edge = F.expr("struct(CAST(rank AS INT) AS rank, i, l, score, shiftleft(1L, i) | shiftleft(1L, i + l) AS ends, shiftleft(shiftleft(1L, l + 1) - 1L, i) AS span)")
-    grouped = found.groupBy("h", "g").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.select("h", "g", F.length("w").alias("size"), "edges")
+    grouped = found.groupBy("u").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.select("u", F.length("w").alias("size"), "edges")
 
 
 def _merged(lattice: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def _merged(lattice: DataFrame) -> DataFrame:
         (state, n) -> coalesce(get(transform(slice(filter(merges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state),
         state -> transform(sort_array(transform(filter(lattice, e -> (state & e.span) = e.ends), e -> struct(e.i, e.rank))), p -> p.rank))), 0)), 0)"""
     first = "array(edges[0].rank)"
-    return lattice.select("h", "g", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
+    return lattice.select("u", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
 
 
 def _viterbi(lattice: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def _viterbi(lattice: DataFrame) -> DataFrame:
         (best, e) -> IF(best[e.i].score IS NULL OR best[e.j].score >= best[e.i].score + e.score, best,
             transform(best, (b, k) -> IF(k = e.j, struct(best[e.i].score + e.score AS score, e.i AS back, e.rank AS rank), b))),
         best -> {back})"""
-    return lattice.select("h", "g", F.expr(forward).alias("ranks"))
+    return lattice.select("u", F.expr(forward).alias("ranks"))
 
 
 def _long_unit(unit: str, p: Pieces) -> np.ndarray:
@@ -287,34 +289,42 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
         begin = np.concatenate((np.zeros(1, np.int64), end[:-1])) if n else end
         return *C.range_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint8), 4 * begin, 4 * end, 2), end, text
 
-    def distinct(table: pa.Table) -> pa.Table:
+    def numbered(sent: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each unit asked for, an entry of each number): a bucket's units by their hashes, in whatever order
+        the chunks came, so both reducers of a bucket, run again or not, number them alike."""
+        order, run = C.sorted_runs(*(np.concatenate([x[k] for x in sent]) for k in (0, 1)))
+        number = np.empty(len(order), np.int64)
+        number[order] = C.run_ids(run, len(order))
+        return number, order[run]
+
+    def distinct(key: tuple, table: pa.Table) -> pa.Table:
         C.trim()
         sent = [asked_units(n, body) for n, body in zip(table["n"].to_pylist(), table["body"].to_pylist(), strict=True)]
-        h, g = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
-        order, run = C.sorted_runs(h, g)
-        first = np.sort(order[run])
+        number, entry = numbered(sent)
+        first = np.sort(entry)
         from_ = np.cumsum([0, *(len(x[0]) for x in sent)])
         words = []
         for (_, _, end, text), lo, hi in zip(sent, from_[:-1], from_[1:], strict=True):
             at = first[np.searchsorted(first, lo) : np.searchsorted(first, hi)] - lo
             words += [text[a:b] for a, b in zip(np.where(at > 0, end[at - 1], 0).tolist(), end[at].tolist(), strict=True)]
-        return pa.table({"h": pa.array(h[first].view(np.int64)), "g": pa.array(g[first].view(np.int64)), "w": pa.array(words, pa.string())})
+        return pa.table({"u": pa.array((key[0].as_py() << NUMBER_BITS) + number[first]), "w": pa.array(words, pa.string())})
 
     def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        h, g = (right[c].to_numpy().view(np.uint64) for c in ("h", "g"))
-        order, _ = C.sorted_runs(h, g)
-        h, g = h[order], g[order]
+        C.trim()
+        sent = [asked_units(n, body)[:2] for n, body in zip(left["n"].to_pylist(), left["body"].to_pylist(), strict=True)]
+        number, entry = numbered(sent)
+        u = right["u"].to_numpy() & ((1 << NUMBER_BITS) - 1)
+        place = np.argsort(u)
+        if not np.array_equal(u[place], np.arange(len(entry))):
+            raise RuntimeError("units of a bucket were lost; the rows of docs must come in the same order each time")
         ranks = right["ranks"].combine_chunks()
         by_rank = np.array([i for _, i, _ in shared.value.ranked], np.int32)
         flat, offs = by_rank[np.asarray(ranks.flatten(), np.int64)], np.asarray(ranks.offsets, np.int64)
         offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
-        found = []
-        for chunk, n, body in zip(*(left[c].to_pylist() for c in ("chunk", "n", "body")), strict=True):
-            own, other, *_ = asked_units(n, body)
-            at = np.searchsorted(h, own)
-            while len(miss := np.flatnonzero(g[at] != other)):  # units that share the first hash lie side by side
-                at[miss] += 1
-            at = order[at]
+        found, done = [], 0
+        for chunk, n in zip(left["chunk"].to_pylist(), left["n"].to_pylist(), strict=True):
+            at = place[number[done : done + n]]
+            done += n
             count = offs[at + 1] - offs[at] if n else at
             ids = flat[_ragged(offs[at], count)].astype(np.int32)
             found.append((key[0].as_py(), chunk, n, _pack(count.astype(np.uint16).tobytes() + ids.tobytes())))
@@ -363,11 +373,11 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
         return pa.concat_tables(out)
 
     asked = texts.select("_id", "_text").mapInArrow(ask, ASK_DDL)
-    words = asked.groupBy("bucket").applyInArrow(distinct, "h long, g long, w string")
+    words = asked.groupBy("bucket").applyInArrow(distinct, "u long, w string")
     # few enough words in a partition that their edges are grouped in memory
-    words = words.repartition(max(8, size // 200 // 30_000), "h")
+    words = words.repartition(max(8, size // 200 // 30_000), "u")
     lattice = _edges(words, pieces)
-    known = (_viterbi if pieces.unigram else _merged)(lattice).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
+    known = (_viterbi if pieces.unigram else _merged)(lattice).withColumn("bucket", F.shiftright("u", NUMBER_BITS).cast("int"))
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ASK_DDL)
     kept = ", round_trip boolean" if check else ""
     kept += ", _text string" if text_col in keep else ""
