@@ -375,7 +375,7 @@ def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_co
     asked = texts.select("_id", "_text").mapInArrow(ask, ASK_DDL)
     words = asked.groupBy("bucket").applyInArrow(distinct, "u long, w string")
     # few enough words in a partition that their edges are grouped in memory
-    words = words.repartition(max(8, size // 200 // 30_000), "u")
+    words = words.repartition(max(8, size // 200 // 15_000), "u")
     lattice = _edges(words, pieces)
     known = (_viterbi if pieces.unigram else _merged)(lattice).withColumn("bucket", F.shiftright("u", NUMBER_BITS).cast("int"))
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ASK_DDL)
