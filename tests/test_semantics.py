@@ -228,6 +228,21 @@ def test_shortest_paths_by_heap(spark):
     assert got == want
 
 
+def test_range_join_reaches_over_longitude_180(spark):
+    rng = np.random.default_rng(5)
+    lon = np.concatenate([[180.0, -180.0, 179.9999, -179.9999], 180 - rng.uniform(0, 3, 20), -180 + rng.uniform(0, 3, 20), rng.uniform(-180, 180, 20)])
+    lat = np.concatenate([[0.0, 0.0, 0.0, 0.0], rng.uniform(-60, 60, 60)])
+    places = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))], "poi long, lat double, lon double")
+    p, q = np.radians(lat), np.radians(lon)
+    square = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p)[:, None] * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+    for radius in (100.0, 200_000.0, 3_000_000.0, 9_000_000.0):
+        pairs = sorted((r.l_poi, r.r_poi) for r in sp.range_join(places, places, radius).collect())
+        near = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(1, square)))
+        sure = sorted((int(i), int(j)) for i, j in zip(*np.where(near <= radius * 0.999), strict=True))
+        assert len(pairs) == len(set(pairs)) and set(sure) <= set(pairs)
+        assert set(pairs) <= {(int(i), int(j)) for i, j in zip(*np.where(near <= radius * 1.001), strict=True)}
+
+
 def test_nearest_node_grows_its_range(spark):
     places = spark.createDataFrame([("a", 10.0, 10.0), ("b", 50.0, 50.0)], "poi string, lat double, lon double")
     nodes = spark.createDataFrame([(1, 10.0, 10.001), (2, 49.0, 50.0)], "node_id long, lat double, lon double")

@@ -15,25 +15,33 @@ from .preprocess import _cut, order_of
 METRES_PER_DEGREE = 111_194.0
 
 
-def _grid(lat: Column, lon: Column, radius_m: float, widest_lat: float) -> tuple[Column, Column]:
-    """Cell of a grid whose sides are radius_m at least, everywhere up to the widest latitude."""
+def _sides(radius_m: float, widest_lat: float) -> tuple[float, float]:
+    """Height and width in degrees of grid cells that are radius_m at least everywhere up to the widest latitude.  A
+    width of 360 puts all longitudes in two neighbouring cells."""
     up = radius_m / METRES_PER_DEGREE * 1.001
     side = up / max(1e-6, math.cos(math.radians(min(89.9, widest_lat + up))))
-    return F.floor(lat / F.lit(up)).cast("long"), F.floor(lon / F.lit(side)).cast("long")
+    return up, side if side <= 90 else 360.0
 
 
 def range_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Pairs of rows within radius_m: equi-join on grid cells (left in its nine neighbours), then the exact distance.
 
-    Columns come as l_* and r_*, with distance_m.  No inequality join is planned.  (Cells don't wrap at longitude 180.)
+    Columns come as l_* and r_*, with distance_m.  No inequality join is planned.  Right rows less than a
+    cell from longitude 180 are put on both ends of the grid, which has four cells or more around or needs no ends.
     """
     widest = max(abs(float(x or 0)) for df in (left, right) for x in df.agg(F.min(lat), F.max(lat)).first())
     near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    y, x = _grid(F.col(f"l_{lat}"), F.col(f"l_{lon}"), radius_m, widest)
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("_y", y).withColumn("_x", x).withColumn("_n", F.explode(F.array(*near)))
-    a = a.withColumn("_y", F.col("_y") + F.col("_n.i")).withColumn("_x", F.col("_x") + F.col("_n.j")).drop("_n")
-    y, x = _grid(F.col(f"r_{lat}"), F.col(f"r_{lon}"), radius_m, widest)
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_y", y).withColumn("_x", x)
+    up, side = _sides(radius_m, widest)
+    cell = lambda c, width: F.floor(c / F.lit(width)).cast("long")
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("_n", F.explode(F.array(*near)))
+    a = a.withColumn("_y", cell(F.col(f"l_{lat}"), up) + F.col("_n.i")).withColumn("_x", cell(F.col(f"l_{lon}"), side) + F.col("_n.j")).drop("_n")
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    at, ends = F.col(f"r_{lon}"), 180.0 - side
+    if side < 360:
+        turns = F.when(at >= ends, F.array(F.lit(0.0), F.lit(-360.0))).when(at <= -ends, F.array(F.lit(0.0), F.lit(360.0))).otherwise(F.array(F.lit(0.0)))
+        b = b.withColumn("_t", F.explode(turns))
+        at = at + F.col("_t")
+    b = b.withColumn("_y", cell(F.col(f"r_{lat}"), up)).withColumn("_x", cell(at, side)).drop("_t")
     d = haversine_m(f"l_{lat}", f"l_{lon}", f"r_{lat}", f"r_{lon}")
     return a.join(b, ["_y", "_x"]).drop("_y", "_x").withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m)
 
