@@ -777,29 +777,25 @@ def _assigned(rows: DataFrame) -> DataFrame:
 
 
 _CAND = """sx AS (SELECT DISTINCT SessionId FROM ss), pool AS (SELECT SessionId, SessionId % 7 AS p, row_number() OVER (PARTITION BY SessionId % 7 ORDER BY SessionId) AS r FROM sx WHERE SessionId % 3 <> 0),
-qs AS (SELECT SessionId, m, CASE m WHEN 0 THEN SessionId % 7 WHEN 1 THEN (SessionId + 3) % 7 ELSE CASE WHEN SessionId % 2 = 0 THEN (SessionId + 5) % 7 END END AS p FROM sx, range(3) t(m) WHERE SessionId % 10 = 0),
+qs AS (SELECT SessionId, m, CASE m WHEN 0 THEN SessionId % 7 WHEN 1 THEN (SessionId + 3) % 7 ELSE CASE WHEN SessionId % 2 = 0 THEN (SessionId + 5) % 7 END END AS p FROM sx, range(3) t(m) WHERE SessionId % 3 = 0),
 cd AS (SELECT qs.SessionId AS query_session, pool.SessionId AS candidate_session, min(m * 1000 + r) AS o FROM qs JOIN pool ON qs.p = pool.p AND pool.r <= 50 WHERE qs.SessionId <> pool.SessionId GROUP BY ALL)"""
 
 
-#: Whom the oracles of case_candidates and case_labels ask with.
-ORACLE_ASKS = "SessionId % 10 = 0"
-
-
-def _candidate_pairs(spark, d, asking: str = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+def _candidate_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = op.held(_sessions(spark, d, DAY))
     a = _assigned(rows)
-    return rows, cs.candidate_sessions(a.filter(asking), a.filter("SessionId % 3 <> 0"))
+    return rows, cs.candidate_sessions(a.filter(HELD_OUT), a.filter("SessionId % 3 <> 0"))
 
 
 @query(f"{_DD}, {_CAND} SELECT query_session, candidate_session, CAST(row_number() OVER (PARTITION BY query_session ORDER BY o) AS INT) AS place FROM cd")
 def case_candidates(spark, d):
-    return _candidate_pairs(spark, d, ORACLE_ASKS)[1].select("query_session", "candidate_session", "place")
+    return _candidate_pairs(spark, d)[1].select("query_session", "candidate_session", "place")
 
 
 @query(f"""{_DD}, {_CAND}, la AS (SELECT SessionId, arg_max(Category, {{'t': Time, 'p': PId, 'e': event_id}}) AS c, arg_max(Latitude, {{'t': Time, 'p': PId, 'e': event_id}}) AS a, arg_max(Longitude, {{'t': Time, 'p': PId, 'e': event_id}}) AS o FROM ss GROUP BY SessionId)
 SELECT query_session, candidate_session, CASE WHEN q.c = k.c OR {_km('q.a', 'q.o', 'k.a', 'k.o', radius='6371.0')} <= 1.0 THEN 1 ELSE 0 END AS label FROM cd JOIN la q ON q.SessionId = query_session JOIN la k ON k.SessionId = candidate_session""")
 def case_labels(spark, d):
-    rows, pairs = _candidate_pairs(spark, d, ORACLE_ASKS)
+    rows, pairs = _candidate_pairs(spark, d)
     return cs.with_labels(pairs, cs.last_stops(rows)).select("query_session", "candidate_session", "label")
 
 

@@ -69,7 +69,12 @@ def safe_text(value, default: str = "unknown") -> Column:
 
 def taxonomy(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
     """(raw, mid, activity) from pairs of raw category and middle level, or, for raw names alone, by MID_RULES."""
-    table = spark.createDataFrame([(r, m) for r, m in rows], "raw string, mid string").dropDuplicates(["raw"])
+    return activities(spark.createDataFrame([(r, m) for r, m in rows], "raw string, mid string"))
+
+
+def activities(pairs: DataFrame) -> DataFrame:
+    """(raw, mid, activity), one row a raw category: where it is given twice, the smaller middle level stands."""
+    table = pairs.groupBy("raw").agg(F.min("mid").alias("mid"))
     activity = F.create_map(*[F.lit(x) for pair in MID_TO_ACTIVITY.items() for x in pair])
     return table.withColumn("activity", F.coalesce(F.try_element_at(activity, F.col("mid")), F.lit(UNKNOWN)))
 

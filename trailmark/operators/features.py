@@ -176,11 +176,15 @@ def spatial_scale(spatial: DataFrame) -> list[tuple[float, float]]:
 
 
 def assemble(temporal: DataFrame, spatial: DataFrame, scale: list[tuple[float, float]], dense: DataFrame | None = None) -> DataFrame:
-    """SessionId and one vector: six temporal numbers, the category vector, three spatial numbers (by ``scale``)."""
+    """SessionId and one vector: six temporal numbers, the category vector, three spatial numbers (by ``scale``).
+
+    Every session needs a row in each table; one that lacks it is an error, not a session less."""
     scaled = [(F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in zip(SPATIAL, scale, strict=True)]
-    out = temporal.join(spatial, "SessionId")
+    out = temporal.join(spatial.withColumn("_spatial", F.lit(True)), "SessionId", "left")
+    whole = F.col("_spatial").isNotNull()
     parts = [F.array(*[F.col(f"tod_{p}") for p in PARTS], F.col("weekend").cast("double"), F.col("duration_z"))]
     if dense is not None:
-        out = out.join(dense, "SessionId")
+        out = out.join(dense.withColumn("_dense", F.lit(True)), "SessionId", "left")
+        whole &= F.col("_dense").isNotNull()
         parts.append(F.col("category_dense"))
-    return out.select("SessionId", F.concat(*parts, F.array(*scaled)).alias("features"))
+    return out.select("SessionId", F.when(whole, F.concat(*parts, F.array(*scaled))).otherwise(F.raise_error(F.lit("a session lacks a block of features"))).alias("features"))

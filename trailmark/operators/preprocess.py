@@ -180,8 +180,11 @@ def split_checkins(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0
 
 
 def attach_split(checkins: DataFrame, sessions: DataFrame) -> DataFrame:
-    """checkins with their session's SplitTag (a session without one is an error) and ordinals within session and user."""
-    out = checkins.join(sessions.select("SessionId", "SplitTag"), "SessionId", "left")
+    """checkins with their session's SplitTag (a session without one, or with two rows, is an error) and ordinals within
+    session and user."""
+    tags = sessions.groupBy("SessionId").agg(F.min("SplitTag").alias("SplitTag"), F.count(F.lit(1)).alias("_rows"))
+    tags = tags.select("SessionId", F.when(F.col("_rows") == 1, F.col("SplitTag")).otherwise(F.raise_error(F.lit("a session occurs twice"))).alias("SplitTag"))
+    out = checkins.join(tags, "SessionId", "left")
     out = out.withColumn("SplitTag", F.coalesce("SplitTag", F.raise_error(F.lit("a session has no split tag"))))
     keys = order_of(checkins, "Time", "PId")
     ordinal = lambda key: (F.row_number().over(Window.partitionBy(key).orderBy(*keys)) - 1).cast("long")

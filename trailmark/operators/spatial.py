@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,13 +109,14 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, cutoff: float, max_roun
     raise RuntimeError("the shortest paths did not settle")
 
 
-def descriptors(places: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: SpatialConfig = SpatialConfig()) -> DataFrame:
+def descriptors(places: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: SpatialConfig = SpatialConfig(), cell: Callable = cell_id) -> DataFrame:
     """One row a place: region tokens, density and its bin, nearest node, its degree and the degree's bin.
 
-    The degree counts edges in and out of the directed multigraph."""
+    The degree counts edges in and out of the directed multigraph; ``cell`` makes a region token of latitude, longitude
+    and resolution."""
     degree = edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("node_degree"))
     out = places.join(density(places, cfg.density_radius_m), "poi").join(nearest_node(places, nodes).drop("node_distance_m"), "poi", "left").join(degree, "node_id", "left")
-    out = out.withColumn("region_coarse_token", cell_id("lat", "lon", cfg.coarse_resolution)).withColumn("region_fine_token", cell_id("lat", "lon", cfg.fine_resolution))
+    out = out.withColumn("region_coarse_token", cell("lat", "lon", cfg.coarse_resolution)).withColumn("region_fine_token", cell("lat", "lon", cfg.fine_resolution))
     out = rank_bins(out, "density_count", cfg.density_bins, "D", "density_bin")
     out = rank_bins(out, "node_degree", cfg.connectivity_bins, "C", "connectivity_bin")
     return out.select("poi", "lat", "lon", "region_coarse_token", "region_fine_token", "density_count", "density_bin", F.col("node_id").alias("nearest_graph_node_id"), "node_degree", "connectivity_bin")

@@ -61,19 +61,30 @@ def run_lbsn(raw: DataFrame, cfg: LbsnConfig = LbsnConfig()) -> Lbsn:
     return Lbsn(out, op.user_sequences(out, columns), op.session_index(out, cfg.min_start_seq, cfg.sequence_length), op.poi_hours(rows))
 
 
+def save_lbsn(run: Lbsn, folder: str) -> None:
+    """The four tables as Parquet: the encoded check-ins by split, sequences, windows of sessions, places."""
+    run.sample.write.mode("overwrite").partitionBy("SplitTag").parquet(f"{folder}/sample")
+    for name in ("sequences", "index", "places"):
+        getattr(run, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Clean check-ins, split them into sessions, and write train, validation and test tables.")
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
+    p.add_argument("--pipeline", choices=("canonical", "lbsn"), default="canonical", help="lbsn takes its own defaults but for the format of times and the ratios")
     d = CanonicalConfig()
     for name, kind in (("min_user_checkins", int), ("min_poi_unique_users", int), ("session_gap_hours", float), ("min_session_len", int), ("train_ratio", float), ("val_ratio", float), ("timestamp_format", str)):
         p.add_argument("--" + name.replace("_", "-"), type=kind, default=getattr(d, name))
     a = vars(p.parse_args(argv))
-    source, target = a.pop("input"), a.pop("output")
+    source, target, which = a.pop("input"), a.pop("output"), a.pop("pipeline")
     cfg = CanonicalConfig(**a).validate()
     spark = SparkSession.builder.appName("trailmark canonical").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     raw = files.read_raw_checkins(spark, source, cfg.timestamp_format)
-    save(run_canonical(raw, cfg), raw, target, cfg)
+    if which == "lbsn":
+        save_lbsn(run_lbsn(raw, LbsnConfig(train_ratio=cfg.train_ratio, val_ratio=cfg.val_ratio)), target)
+    else:
+        save(run_canonical(raw, cfg), raw, target, cfg)
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.text import activities
 from ..functions.timefn import local_time, parse_lenient, parse_strict, weekday_name
 
 
@@ -54,3 +55,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def write_metadata(spark: SparkSession, values: dict, path: str) -> None:
     """One JSON document, written by Spark so that any file system will do."""
     spark.createDataFrame([(json.dumps(values, default=str, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """The document that write_metadata wrote."""
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, mid, activity) from a CSV file with the columns raw and mid."""
+    return activities(read_csv(spark, path, "raw string, mid string"))
