@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,34 +111,98 @@ def tfidf(rows: DataFrame, idf: DataFrame) -> DataFrame:
     return w.select("SessionId", "term", (F.col("_w") / size).alias("weight"))
 
 
+#: Vocabularies up to this size are decomposed by the sums of products of their terms, in one pass.
+GRAM = 2048
+
+
+def _sparse(weights: DataFrame, terms: list[str]) -> DataFrame:
+    """(SessionId, i, w): numbers and weights of a session's terms, by number; ``terms`` is the vocabulary."""
+    table = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    rows = weights.join(F.broadcast(table), "term").groupBy("SessionId").agg(F.sort_array(F.collect_list(F.struct("i", F.col("weight").alias("w")))).alias("_x"))
+    return rows.select("SessionId", F.col("_x.i").alias("i"), F.col("_x.w").alias("w"))
+
+
+def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, weight) of the terms of a batch of _sparse."""
+    n = np.diff(batch.column("i").offsets.to_numpy())
+    return np.repeat(np.arange(len(n)), n), batch.column("i").flatten().to_numpy(), batch.column("w").flatten().to_numpy()
+
+
+def _products(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums over all sessions of the products of two terms' weights.  Tasks hand on bands of 64 terms, which meet before
+    the driver, so it gets one table of the vocabulary's square."""
+    step = max(1, (1 << 21) // size)
+
+    def added(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                row, i, w = _flat(part)
+                x = np.zeros((part.num_rows, size))
+                x[row, i] = w
+                total += x.T @ x
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"band": list(range(0, size, 64)), "x": [total[k : k + 64].tobytes() for k in range(0, size, 64)]})
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"band": table["band"][:1], "x": [sum(np.frombuffer(x.as_py()) for x in table["x"]).tobytes()]})
+
+    found = rows.mapInArrow(added, "band long, x binary").groupBy("band").applyInArrow(merged, "band long, x binary").collect()
+    out = np.zeros((size, size))
+    for band, x in found:
+        out[band : band + 64] = np.frombuffer(bytes(x)).reshape(-1, size)
+    return out
+
+
 def right_vectors(weights: DataFrame, components: int = 64) -> tuple[list[tuple[str, list[float]]], list[float]]:
     """The part of each term in the leading right singular vectors of the term matrix, and the singular values.  The
     right vectors (terms times components) are the broadcast model; it needs a vocabulary of category terms, whose
-    size does not grow with the sessions."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    size does not grow with the sessions.
 
+    Up to GRAM terms the products of the terms are summed in one pass and decomposed on the driver, each vector with
+    its largest part positive; singular values that rounding can't tell from 0 go.  Larger vocabularies are
+    decomposed by iterations over the sessions."""
     vocabulary = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(20_001).collect()]
     if len(vocabulary) > 20_000:
         raise ValueError("more than 20,000 terms: keep the sparse weights")
     if not vocabulary:
         return [], []
-    index = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)])
-    rows = weights.withColumn("_i", F.try_element_at(index, F.col("term"))).groupBy("SessionId").agg(F.sort_array(F.collect_list(F.struct("_i", "weight"))).alias("_x"))
+    rows = held(_sparse(weights, vocabulary))
     n = rows.count()
     k = max(1, min(components, n - 1, len(vocabulary) - 1))
-    matrix = RowMatrix(rows.select("_x").rdd.map(lambda r: Vectors.sparse(len(vocabulary), [(int(i), float(w)) for i, w in r[0]])))
-    found = matrix.computeSVD(k)
-    v = found.V.toArray()
-    return [(t, v[i].tolist()) for i, t in enumerate(vocabulary)], [float(s) for s in found.s]
+    if len(vocabulary) <= GRAM:
+        square, v = np.linalg.eigh(_products(rows, len(vocabulary)))
+        values = np.sqrt(np.maximum(square[::-1][:k], 0.0))
+        known = max(1, int((values > values[0] * np.sqrt(len(vocabulary) * np.finfo(float).eps)).sum()))
+        values, v = values[:known], v[:, ::-1][:, :known]
+        v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(known)] < 0, -1.0, 1.0)
+    else:
+        from pyspark.mllib.linalg import Vectors
+        from pyspark.mllib.linalg.distributed import RowMatrix
+
+        sparse = rows.select("i", "w").rdd.map(lambda r: Vectors.sparse(len(vocabulary), r[0], r[1])).persist(StorageLevel.MEMORY_AND_DISK)
+        found = RowMatrix(sparse).computeSVD(k)
+        values, v = found.s.toArray(), found.V.toArray()
+        sparse.unpersist()
+    rows.unpersist()
+    return [(t, v[i].tolist()) for i, t in enumerate(vocabulary)], [float(x) for x in values]
 
 
 def project(weights: DataFrame, axes: list[tuple[str, list[float]]]) -> DataFrame:
     """(SessionId, category_dense): the weights along the axes, of length 1."""
-    table = weights.sparkSession.createDataFrame(axes, "term string, axis array<double>")
-    parts = weights.join(F.broadcast(table), "term").select("SessionId", F.posexplode(F.transform("axis", lambda a: a * F.col("weight"))))
-    dense = parts.groupBy("SessionId", "pos").agg(F.sum("col").alias("x")).groupBy("SessionId").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_x"))
-    return dense.select("SessionId", vec.unit(F.transform("_x", lambda s: s["x"])).alias("category_dense"))
+    matrix = weights.sparkSession.sparkContext.broadcast(np.array([a for _, a in axes]) if axes else np.zeros((0, 0)))
+
+    def along(batches):
+        for batch in batches:
+            row, i, w = _flat(batch)
+            x = np.add.reduceat(matrix.value[i] * w[:, None], np.flatnonzero(np.r_[True, np.diff(row) > 0])) if len(row) else np.zeros((0, 0))
+            size = np.sqrt((x**2).sum(axis=1))
+            x = x / np.where(size < 1e-12, 1.0, size)[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("SessionId"), pa.array(list(x), pa.list_(pa.float64()))], ["SessionId", "category_dense"])
+
+    kind = weights.schema["SessionId"].dataType.simpleString()
+    return _sparse(weights, [t for t, _ in axes]).mapInArrow(along, f"SessionId {kind}, category_dense array<double>")
 
 
 def truncated_svd(weights: DataFrame, components: int = 64) -> tuple[DataFrame, list[float]]:
