@@ -41,8 +41,8 @@ class Mixture:
             square, logdet = np.empty((len(x), len(self.weights))), np.empty(len(self.weights))
             for k, (m, c) in enumerate(zip(self.means, self.covariances, strict=True)):
                 low = np.linalg.cholesky(c)
-                y = np.linalg.solve(low, (x - m).T)
-                square[:, k], logdet[k] = (y**2).sum(axis=0), 2 * np.log(np.diag(low)).sum()
+                y = (x - m) @ np.linalg.inv(low).T
+                square[:, k], logdet[k] = np.einsum("ij,ij->i", y, y), 2 * np.log(np.diag(low)).sum()
         return -0.5 * (d * np.log(2 * np.pi) + logdet + square) + np.log(self.weights)
 
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,38 +66,78 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _expect(rows: DataFrame, mixture: Mixture) -> tuple:
-    """(n, log likelihood, weights, sums, squares) over all rows."""
-    model = rows.sparkSession.sparkContext.broadcast(mixture)
-    full = mixture.covariance_type == "full"
+#: Rows that the E-step looks at once; bytes of sums that the driver takes from the tasks directly.
+_ROWS, _DIRECT = 1024, 64 << 20
+
+
+def _expect(rows: DataFrame, mixtures: list[Mixture]) -> list[tuple]:
+    """(n, log likelihood, weights, sums, squares) over all rows for each mixture, in one pass."""
+    model = rows.sparkSession.sparkContext.broadcast(mixtures)
+    sizes = [2 + m.means.shape[0] * (1 + m.means.shape[1] + _squares(m)) for m in mixtures]
+    ends = np.cumsum(sizes)
 
     def step(batches):
         sums = None
         for batch in batches:
-            x = _matrix(batch.column("features"))
-            if not len(x):
-                continue
-            r, total = model.value.posterior(x)
-            square = np.einsum("nk,ni,nj->kij", r, x, x, optimize=True) if full else r.T @ x**2
-            new = np.concatenate(([len(x), total.sum()], r.sum(axis=0), (r.T @ x).ravel(), square.ravel()))
-            sums = new if sums is None else sums + new
+            whole = _matrix(batch.column("features"))
+            for lo in range(0, len(whole), _ROWS):
+                x = whole[lo : lo + _ROWS]
+                new = np.concatenate([_sums(m, x) for m in model.value])
+                sums = new if sums is None else sums + new
         if sums is not None:
-            yield pa.RecordBatch.from_pydict({"s": [sums.tolist()]})
-
-    added = rows.select("features").mapInArrow(step, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v"))
-    flat = np.array([v for _, v in sorted(added.collect())])  # as many numbers as the model has
-    k, d = mixture.means.shape
-    n, ll, rest = flat[0], flat[1], flat[2:]
-    return n, ll, rest[:k], rest[k : k + k * d].reshape(k, d), rest[k + k * d :].reshape((k, d, d) if full else (k, d))
-
-
-def fit_mixture(rows: DataFrame, k: int, covariance: str, cfg: PrototypeConfig = PrototypeConfig()) -> Mixture:
-    """EM from the best of n_init starts on a bounded sample; then over all rows until the mean gain is below tol."""
-    sample = rows.select("features").orderBy(F.xxhash64("features", F.lit(cfg.seed))).limit(_SEEDS).toArrow()
-    x = _matrix(sample["features"].combine_chunks())
+            parts = range(0, len(sums), 1 << 16)
+            yield pa.RecordBatch.from_pydict({"part": list(parts), "s": [sums[k : k + (1 << 16)].tobytes() for k in parts]})
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"][:1], "s": [sum(np.frombuffer(s.as_py()) for s in table["s"]).tobytes()]})
+
+    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    added = rows.select("features").coalesce(tasks).mapInArrow(step, "part long, s binary")
+    if tasks * 8 * int(ends[-1]) > _DIRECT:
+        added = added.groupBy("part").applyInArrow(merged, "part long, s binary")
+    flat = np.zeros(ends[-1])  # as many numbers as the models have
+    for part, s in sorted((p, bytes(s)) for p, s in added.collect()):
+        s = np.frombuffer(s)
+        flat[part : part + len(s)] += s
+    out = []
+    for m, end, size in zip(mixtures, ends, sizes, strict=True):
+        (k, d), f = m.means.shape, flat[end - size : end]
+        square = f[2 + k + k * d :].reshape(k, -1)
+        if m.covariance_type == "full":
+            i, j = np.triu_indices(d)
+            whole = np.zeros((k, d, d))
+            whole[:, i, j] = square
+            whole[:, j, i] = square
+            square = whole
+        out.append((f[0], f[1], f[2 : 2 + k], f[2 + k : 2 + k + k * d].reshape(k, d), square))
+    return out
+
+
+def _squares(m: Mixture) -> int:
+    d = m.means.shape[1]
+    return d * (d + 1) // 2 if m.covariance_type == "full" else d
+
+
+def _sums(m: Mixture, x: np.ndarray) -> np.ndarray:
+    """What some rows add to the sums of _expect; of full squares the upper half."""
+    r, total = m.posterior(x)
+    if m.covariance_type == "full":
+        upper = np.triu_indices(x.shape[1])
+        square = np.zeros((len(m.weights), len(upper[0])))
+        for k, w in enumerate(r.T):
+            own = np.flatnonzero(w > 1e-40)  # others add nothing that a double holds
+            if len(own):
+                y = x[own]
+                square[k] = ((y * w[own, None]).T @ y)[upper]
+    else:
+        square = r.T @ x**2
+    return np.concatenate(([len(x), total.sum()], r.sum(axis=0), (r.T @ x).ravel(), square.ravel()))
+
+
+def _start(x: np.ndarray, k: int, covariance: str, cfg: PrototypeConfig) -> Mixture:
+    """The best of n_init starts on a sample."""
     k = min(k, len(x))
     var = x.var(axis=0) + cfg.reg_covar
-    spread = lambda: np.tile(var, (k, 1)) if covariance == "diag" else np.tile(np.diag(var), (k, 1, 1))
     best, best_ll = None, -np.inf
     for start in range(cfg.n_init):
         rng = np.random.default_rng(cfg.seed + start)
@@ -107,41 +147,62 @@ def fit_mixture(rows: DataFrame, k: int, covariance: str, cfg: PrototypeConfig =
             p = near / near.sum() if near.sum() > 0 else None
             centres.append(x[rng.choice(len(x), p=p)])
             near = np.minimum(near, ((x - centres[-1]) ** 2).sum(axis=1))
-        m = Mixture(np.full(k, 1 / k), np.array(centres), spread(), covariance)
+        m = Mixture(np.full(k, 1 / k), np.array(centres), np.tile(var, (k, 1)), "diag")
         ll = m.posterior(x)[1].sum()
         if ll > best_ll:
             best, best_ll = m, ll
-    gains: list[float] = []
+    if covariance == "full":
+        best = Mixture(best.weights, best.means, np.tile(np.diag(var), (k, 1, 1)), covariance)
+    return best
+
+
+def fit_mixtures(rows: DataFrame, kinds: list[tuple[int, str]], cfg: PrototypeConfig = PrototypeConfig()) -> list[Mixture]:
+    """Mixtures of several sizes and covariance types: EM from the best of n_init starts on a bounded sample; then over
+    all rows until the mean gain is below tol.  A round is one pass for all that have not settled."""
+    sample = rows.select("features").orderBy(F.xxhash64("features", F.lit(cfg.seed))).limit(_SEEDS).toArrow()
+    x = _matrix(sample["features"].combine_chunks())
+    found = [_start(x, k, covariance, cfg) for k, covariance in kinds]
+    gains: list[list[float]] = [[] for _ in kinds]
+    active = list(range(len(kinds)))
     for i in range(cfg.max_iter):
-        n, ll, w, s, q = _expect(rows, best)
-        gains.append(ll / n)
-        if len(gains) > 1 and abs(gains[-1] - gains[-2]) < cfg.tol:
-            best.converged = True
+        if not active:
             break
-        w = w + 10 * np.finfo(float).eps
-        means = s / w[:, None]
-        if covariance == "diag":
-            cov = np.maximum(q / w[:, None] - means**2, 0) + cfg.reg_covar
-        else:
-            cov = q / w[:, None, None] - np.einsum("ki,kj->kij", means, means)
-            cov = (cov + cov.transpose(0, 2, 1)) / 2 + cfg.reg_covar * np.eye(means.shape[1])
-        best = Mixture(w / w.sum(), means, cov, covariance, n_iter=i + 1)
-    best.log_likelihoods = tuple(gains)
-    return best
+        for at, (n, ll, w, s, q) in zip(list(active), _expect(rows, [found[a] for a in active]), strict=True):
+            own = gains[at]
+            own.append(ll / n)
+            if len(own) > 1 and abs(own[-1] - own[-2]) < cfg.tol:
+                found[at].converged = True
+                active.remove(at)
+                continue
+            covariance = kinds[at][1]
+            w = w + 10 * np.finfo(float).eps
+            means = s / w[:, None]
+            if covariance == "diag":
+                cov = np.maximum(q / w[:, None] - means**2, 0) + cfg.reg_covar
+            else:
+                cov = q / w[:, None, None] - np.einsum("ki,kj->kij", means, means)
+                cov = (cov + cov.transpose(0, 2, 1)) / 2 + cfg.reg_covar * np.eye(means.shape[1])
+            found[at] = Mixture(w / w.sum(), means, cov, covariance, n_iter=i + 1)
+    for m, own in zip(found, gains, strict=True):
+        m.log_likelihoods = tuple(own)
+    return found
+
+
+def fit_mixture(rows: DataFrame, k: int, covariance: str, cfg: PrototypeConfig = PrototypeConfig()) -> Mixture:
+    return fit_mixtures(rows, [(k, covariance)], cfg)[0]
 
 
 def select_mixture(train: DataFrame, validation: DataFrame | None = None, cfg: PrototypeConfig = PrototypeConfig()) -> tuple[Mixture, list[dict]]:
     """The mixture with the smallest BIC over all sizes and covariance types, and the figures of each, by BIC."""
     found = []
-    for covariance in cfg.covariances:
-        for k in cfg.components:
-            m = fit_mixture(train, k, covariance, cfg)
-            n, ll, *_ = _expect(train, m)
-            row = {"K": len(m.weights), "covariance_type": covariance, "bic": float(m.bic(ll, n)), "aic": float(m.aic(ll)), "train_avg_loglik": float(ll / n), "converged": m.converged, "n_iter": m.n_iter}
-            if validation is not None:
-                vn, vll, *_ = _expect(validation, m)
-                row["val_avg_loglik"] = float(vll / vn) if vn else None
-            found.append((row["bic"], len(found), row, m))
+    mixtures = fit_mixtures(train, [(k, covariance) for covariance in cfg.covariances for k in cfg.components], cfg)
+    validated = _expect(validation, mixtures) if validation is not None else [None] * len(mixtures)
+    for m, (n, ll, *_), other in zip(mixtures, _expect(train, mixtures), validated, strict=True):
+        row = {"K": len(m.weights), "covariance_type": m.covariance_type, "bic": float(m.bic(ll, n)), "aic": float(m.aic(ll)), "train_avg_loglik": float(ll / n), "converged": m.converged, "n_iter": m.n_iter}
+        if other is not None:
+            vn, vll, *_ = other
+            row["val_avg_loglik"] = float(vll / vn) if vn else None
+        found.append((row["bic"], len(found), row, m))
     found.sort(key=lambda f: f[:2])
     return found[0][3], [f[2] for f in found]
 
