@@ -806,11 +806,13 @@ def cases_ranked(spark, d):
     partial = op.held(op.partial_sessions(rows))
     _, scales, categories = prototypes.session_vectors(partial.filter("SessionId % 3 <> 0"))
     features, *_ = prototypes.session_vectors(partial, scales, categories=categories)
-    last = op.held(cs.last_stops(rows))
-    labelled = op.held(cs.pair_features(cs.with_labels(pairs, last), features))
-    size = labelled.select(F.size("pair_features")).first()
-    model = cs.train_ranker(cs.training_pairs(labelled), size[0] if size else 1, max_iter=30)
-    return cs.rank_sessions(model, labelled, last).withColumn("score", F.round("score", 4))
+    last = op._cut(cs.last_stops(rows))
+    features = op._cut(features)
+    labelled = op._cut(cs.with_labels(cs.with_vectors(op._cut(pairs), features), last))
+    chosen = op._cut(cs.training_pairs(labelled))
+    size = features.select(F.size("features")).first()
+    model = cs.train_ranker(cs.pair_features(chosen, features), 3 * size[0] + 1 if size else 1, max_iter=30)
+    return cs.rank_sessions(model, cs.pair_features(labelled, features), last).withColumn("score", F.round("score", 4))
 
 
 @query()

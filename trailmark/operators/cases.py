@@ -31,16 +31,34 @@ def last_stops(checkins: DataFrame) -> DataFrame:
 def with_labels(pairs: DataFrame, last: DataFrame, km: float = 1.0) -> DataFrame:
     """pairs with label: both sessions end in one category, or within km of each other."""
     side = lambda s: last.select(F.col("SessionId").alias(f"{s}_session"), *[F.col(c).alias(f"_{s}_{c}") for c in ("Category", "Latitude", "Longitude")])
-    rows = pairs.join(side("query"), "query_session").join(side("candidate"), "candidate_session")
+    rows = pairs.join(side("query"), "query_session").join(_few(side("candidate"), pairs), "candidate_session")
     near = haversine_km("_query_Latitude", "_query_Longitude", "_candidate_Latitude", "_candidate_Longitude", EARTH_KM_ROUND) <= km
     label = F.col("_query_Category").eqNullSafe(F.col("_candidate_Category")) | F.coalesce(near, F.lit(False))
     return rows.withColumn("label", label.cast("int")).select(*pairs.columns, "label")
 
 
+#: Candidate sessions whose rows are broadcast; more are shuffled.
+_BROADCAST = 20_000
+
+
+def _few(side: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``side`` (one a candidate_session) that pairs ask for, broadcast where they are few: prototypes bound
+    the candidates, whatever the number of queries."""
+    ids = pairs.select("candidate_session").distinct()
+    own = side.join(ids, "candidate_session", "left_semi")
+    return F.broadcast(own) if ids.limit(_BROADCAST + 1).count() <= _BROADCAST else own
+
+
+def with_vectors(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """pairs whose sessions both have a vector."""
+    side = lambda s: features.select(F.col("SessionId").alias(f"{s}_session"))
+    return pairs.join(side("query"), "query_session", "left_semi").join(side("candidate"), "candidate_session", "left_semi")
+
+
 def pair_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """pairs with pair_features [query, candidate, |query - candidate|, cosine]; sessions without a vector go."""
     side = lambda s: features.select(F.col("SessionId").alias(f"{s}_session"), F.col("features").alias(f"_{s}"))
-    rows = pairs.join(side("query"), "query_session").join(side("candidate"), "candidate_session")
+    rows = pairs.join(side("query"), "query_session").join(_few(side("candidate"), pairs), "candidate_session")
     both = F.concat("_query", "_candidate", F.zip_with("_query", "_candidate", lambda a, b: F.abs(a - b)), F.array(vec.cosine_padded("_query", "_candidate")))
     return rows.withColumn("pair_features", both).drop("_query", "_candidate")
 

@@ -38,20 +38,23 @@ class CaseRetrieval:
 def learn(history: DataFrame, pool: DataFrame, per_prototype: int = 50, negatives: int = 5, km: float = 1.0, max_iter: int = 300) -> CaseModel:
     """The ranker learns from the history's own sessions, so a query's last stop is never seen."""
     features, scales, categories = session_vectors(op.held(op.partial_sessions(history)))
-    features, last = op.held(features), op.held(cs.last_stops(history))
-    pairs = cs.pair_features(cs.with_labels(cs.candidate_sessions(pool, pool, per_prototype), last, km), features)
+    # lineage is cut, or the text of the plans outgrows the driver; pairs stay narrow, and vectors join those that are
+    # trained with
+    features, last = op._cut(features), op._cut(cs.last_stops(history))
+    pairs = op._cut(cs.with_vectors(op._cut(cs.candidate_sessions(pool, pool, per_prototype)), features))
+    chosen = op._cut(cs.training_pairs(op._cut(cs.with_labels(pairs, last, km)), negatives))
     size = features.select(F.size("features")).first()
-    ranker = cs.train_ranker(cs.training_pairs(pairs, negatives), 3 * (size[0] if size else 0) + 1, max_iter=max_iter)
+    ranker = cs.train_ranker(cs.pair_features(chosen, features), 3 * (size[0] if size else 0) + 1, max_iter=max_iter)
     return CaseModel(history, pool, features, last, scales, categories, ranker)
 
 
 def answer(model: CaseModel, queries: DataFrame, asked: DataFrame, per_prototype: int = 50, top_k: int = 10) -> CaseRetrieval:
     """The best sessions of the pool for each query session, and the nested rows; asked has the queries' prototypes."""
     partial = op.partial_sessions(queries)
-    features = op.held(model.features.unionByName(session_vectors(partial, model.scales, categories=model.categories)[0]))
-    last = op.held(model.last.unionByName(cs.last_stops(queries)))
-    scored = cs.pair_features(cs.candidate_sessions(asked, model.pool, per_prototype), features)
-    predictions = op.held(cs.rank_sessions(model.ranker, scored, last, top_k))
+    features = op._cut(model.features.unionByName(session_vectors(partial, model.scales, categories=model.categories)[0]))
+    last = op._cut(model.last.unionByName(cs.last_stops(queries)))
+    scored = cs.pair_features(op._cut(cs.candidate_sessions(asked, model.pool, per_prototype)), features)
+    predictions = op._cut(cs.rank_sessions(model.ranker, scored, last, top_k))
     return CaseRetrieval(predictions, cs.nested_dataset(predictions, partial, model.history))
 
 
