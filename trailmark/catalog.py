@@ -577,7 +577,7 @@ _TR = f"{_PL}, {_PAIR}, {_session_sql(DAY)}, {_MOVE}"
 
 def _moves(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = op.held(_sessions(spark, d, DAY))
-    return rows, op.held(sp.transitions(rows, op.held(_pairs(spark, d)), cfg=PAIRS))
+    return rows, op.held(sp.transitions(rows, op._cut(_pairs(spark, d)), cfg=PAIRS))
 
 
 @query(f"{_TR} SELECT SessionId, transition_index, src_POIId, dst_POIId, round(gap_s, 6) AS gap_s, gap_bin, round(final_distance_m, 4) AS final_distance_m, distance_bin, round(bearing_deg, 6) AS bearing_deg, direction_bin FROM tr")
@@ -601,7 +601,7 @@ coalesce(gb1, 'BOS') AS prev1_gap_bin, coalesce(db1, 'BOS') AS prev1_distance_bi
 
 def _states(spark, d, current: bool = False) -> DataFrame:
     rows, moves = _moves(spark, d)
-    places = op.held(sp.descriptors(fx.places(spark, d), fx.nodes(spark), fx.edges(spark), SPATIAL))
+    places = op._cut(sp.descriptors(fx.places(spark, d), fx.nodes(spark), fx.edges(spark), SPATIAL))
     return (st.current_states if current else st.decision_states)(rows, moves, places)
 
 

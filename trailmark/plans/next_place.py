@@ -28,9 +28,10 @@ class Assets:
 
 
 def build_assets(history: DataFrame, places: DataFrame, nodes: DataFrame, edges: DataFrame, meta: DataFrame, prototypes: DataFrame | None = None, settings: Settings = Settings()) -> Assets:
-    described = op.held(sp.descriptors(places, nodes, edges, settings.spatial))
+    # tables of places and results have their lineage cut, or the text of the plans outgrows the driver
+    described = op._cut(sp.descriptors(places, nodes, edges, settings.spatial))
     located = described.select("poi", "lat", "lon", F.col("nearest_graph_node_id").alias("node_id"))
-    pairs = op.held(sp.pair_lookup(located, edges, settings.spatial))
+    pairs = op._cut(sp.pair_lookup(located, edges, settings.spatial))
     moves = sp.transitions(history, pairs, cfg=settings.spatial)
     states = op.held(st.decision_states(history, moves, described, prototypes, settings.retrieval.recent_k))
     encoder = rt.StateEncoder.fit(states, settings.retrieval)
@@ -53,8 +54,8 @@ def predict(assets: Assets, prefixes: DataFrame, generator: pr.Generator = pr.st
     """Per session prefix: retrieved evidence, prompt, answer and the selected place; failures are rows with error."""
     s = assets.settings
     states, encoded = queries_of(assets, prefixes, routed)
-    found = op.held(rt.retrieve(encoded, assets.cases, s.retrieval, routing, preselect))
-    chosen = op.held(rt.candidates(found, s.retrieval.temperature, s.retrieval.top_k_candidates))
+    found = op._cut(rt.retrieve(encoded, assets.cases, s.retrieval, routing, preselect))
+    chosen = op._cut(rt.candidates(found, s.retrieval.temperature, s.retrieval.top_k_candidates))
     stops = prefixes.withColumn("query", F.col("SessionId"))
     blocks = pr.evidence(states, stops, found, chosen, assets.meta, s.prompts)
     asked = pr.prompts(blocks, chosen, assets.meta, s.prompts)
