@@ -83,6 +83,29 @@ def test_merges_of_long_units_agree_with_the_fold(spark, library):
     assert sp._long_unit("▁" + "ab" * 500, m).tolist() == library.encode("ab" * 500)
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_one_pass_unless_a_merge_makes_a_better_edge_fit(spark, late):
+    ranked = ["abc", "ab", "cab", "de"] if late else ["ab", "abc", "cab", "de"]
+    pieces = {p: -float(r) for r, p in enumerate([*ranked, *"▁abcde"])}
+    m = small_model(2, pieces)
+    assert m.late() == ({"abc"} if late else set())
+    texts = ["abcab", "cabab", "abcabcab", "cabc", "dede", "abdeabc", "de", "d"]
+    units = spark.createDataFrame([(k, "▁" + t) for k, t in enumerate(texts)], "u long, w string")
+    out = sp._merged(sp._edges(units, m))
+    rank = {p: r for r, (p, _, _) in enumerate(m.ranked)}
+    for u, found in out.collect():
+        assert [m.ranked[r][0] for r in found] == plain_merges("▁" + texts[u], rank)
+    assert ("slice(" in out._jdf.queryExecution().optimizedPlan().toString()) == late
+
+
+def plain_merges(text: str, rank: dict[str, int]) -> list[str]:
+    parts = list(text)
+    while fits := [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]:
+        i = min(fits)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert sp.encode(d, MODEL_FILE).count() == 0

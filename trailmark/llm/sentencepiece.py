@@ -10,7 +10,9 @@ spans, so units can be encoded apart and each distinct unit once.  Over the tabl
 
 For models of type unigram the fold is Viterbi: best score for each end, then the way back.  For models of type BPE
 a best-scoring path is not what the model means and gives other ids than its own encoder, so there the fold applies
-the edges as merges: over and over the best-ranked edge, leftmost first, that spans exactly two current pieces.
+the edges as merges: over and over the best-ranked edge, leftmost first, that spans exactly two current pieces.  One
+pass over the edges by rank does that, unless a merge makes an edge fit that has a better rank (``Pieces.late``); units
+with such an edge look through all edges at each merge.
 
 Chunks of texts travel once, compressed.  They ask for their distinct units through a bucketed exchange and are
 answered through another one, so the vocabulary is never broadcast and a unit in a third of all texts costs one
@@ -91,6 +93,14 @@ class Pieces:
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.spelling = [bytes([self.bytes.index(i)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode() for i, p in enumerate(m.pieces)]
 
+    def late(self) -> set[str]:
+        """BPE: pieces that their own text comes to by a merge of a worse rank.
+
+        Only such a piece can fit after its rank has passed: where no merge crosses its ends, its text is merged as it
+        is alone, so by ranks up to its own, and once one has crossed them it never fits."""
+        rank = {p: r for r, (p, _, _) in enumerate(self.ranked)}
+        return {p for p, r in rank.items() if len(p) > 1 and _merges(p, rank, r)}
+
     def join_table(self) -> tuple[np.ndarray, np.ndarray]:
         """(place of each code point, whether a piece has the two places side by side)."""
         chars = sorted({c for p, _, _ in self.rows for c in p})
@@ -163,14 +173,17 @@ def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     the grouping needs no further exchange.
     """
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, r, s) for r, (p, _, s) in enumerate(pieces.ranked)], "s string, rank long, score double")
+    late = set() if pieces.unigram else pieces.late()
+    # scores are for Viterbi; merges need ranks only
+    columns = "score" if pieces.unigram else "late" if late else ""
+    table = spark.createDataFrame([(p, r, s, p in late) for r, (p, _, s) in enumerate(pieces.ranked)], "s string, rank int, score double, late boolean").select("s", "rank", *columns.split())
     if len(pieces.ranked) <= BROADCAST_PIECES:
         table = F.broadcast(table)
     # two plain explodes run as generated code; one over an array of structs would be interpreted
     found = words.select("u", "w", F.explode(F.expr("sequence(0, length(w) - 1)")).alias("i"))
     found = found.select("u", "w", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(w) - i))")).alias("l"))
     found = found.select("u", "w", "i", "l", F.expr("substring(w, i + 1, l)").alias("s")).join(table, "s")
-    edge = F.expr("struct(CAST(rank AS INT) AS rank, i, l, score, shiftleft(1L, i) | shiftleft(1L, i + l) AS ends, shiftleft(shiftleft(1L, l + 1) - 1L, i) AS span)")
+    edge = F.expr(f"struct(rank, i, l, {columns + ',' if columns else ''} shiftleft(1L, i) | shiftleft(1L, i + l) AS ends, shiftleft(shiftleft(1L, l + 1) - 1L, i) AS span)")
     grouped = found.groupBy("u").agg(F.any_value("w").alias("w"), F.sort_array(F.collect_list(edge)).alias("edges"))
     return grouped.select("u", F.length("w").alias("size"), "edges")
 
@@ -180,9 +193,13 @@ def _merged(lattice: DataFrame) -> DataFrame:
 
     The edges are bound to lambda variables: a column would be computed anew at every use inside a lambda."""
     fits = "(state & e.ends) = e.ends AND bit_count(state & e.span) = 3"
-    fold = f"""get(transform(array(edges), lattice -> get(transform(array(filter(lattice, e -> e.l > 1)), merges -> aggregate(sequence(1, size - 1), shiftleft(1L, size + 1) - 1L,
-        (state, n) -> coalesce(get(transform(slice(filter(merges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state),
-        state -> transform(sort_array(transform(filter(lattice, e -> (state & e.span) = e.ends), e -> struct(e.i, e.rank))), p -> p.rank))), 0)), 0)"""
+    begin = "shiftleft(1L, size + 1) - 1L"
+    again = f"""aggregate(sequence(1, size - 1), {begin}, (state, n) -> coalesce(get(transform(slice(filter(merges, e -> {fits}), 1, 1), e -> state & (e.ends | ~e.span)), 0), state))"""
+    once = f"aggregate(merges, {begin}, (state, e) -> IF({fits}, state & (e.ends | ~e.span), state))"
+    fields = lattice.schema["edges"].dataType.elementType.fieldNames()
+    state = f"IF(exists(merges, e -> e.late), {again}, {once})" if "late" in fields else once
+    fold = f"""get(transform(array(edges), lattice -> get(transform(array(filter(lattice, e -> e.l > 1)), merges -> get(transform(array({state}),
+        state -> transform(sort_array(transform(filter(lattice, e -> (state & e.span) = e.ends), e -> struct(e.i, e.rank))), p -> p.rank)), 0)), 0)), 0)"""
     first = "array(edges[0].rank)"
     return lattice.select("u", F.expr(f"IF(size = 1, {first}, {fold})").alias("ranks"))
 
@@ -215,9 +232,19 @@ def _long_unit(unit: str, p: Pieces) -> np.ndarray:
             out.append(ids[unit[best[j][1] : j]])
             j = best[j][1]
         return np.array(out[::-1], np.int32)
-    rank = {piece: r for r, (piece, _, _) in enumerate(p.ranked)}
+    ends = _merged_ends(unit, {piece: r for r, (piece, _, _) in enumerate(p.ranked)})[0]
+    out, i = [], 0
+    while i < len(unit):
+        out.append(ids[unit[i : ends[i]]])
+        i = ends[i]
+    return np.array(out, np.int32)
+
+
+def _merged_ends(unit: str, rank: dict[str, int]) -> tuple[list[int], int]:
+    """(where the piece that begins at each character ends, the worst rank before the last merge) after all merges."""
     ends, back = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))  # of the piece that begins here
     heap: list[tuple] = []
+    worst = last = -1
 
     def offer(i: int) -> None:
         j = ends[i] if i >= 0 else len(unit)
@@ -227,18 +254,21 @@ def _long_unit(unit: str, p: Pieces) -> np.ndarray:
     for i in range(len(unit)):
         offer(i)
     while heap:
-        _, i, j, k = heapq.heappop(heap)
+        r, i, j, k = heapq.heappop(heap)
         if ends[i] == j and ends[j] == k:
+            worst, last = max(worst, last), r
             ends[i], ends[j] = k, -1
             if k < len(unit):
                 back[k] = i
             offer(i)
             offer(back[i])
-    out, i = [], 0
-    while i < len(unit):
-        out.append(ids[unit[i : ends[i]]])
-        i = ends[i]
-    return np.array(out, np.int32)
+    return ends, worst
+
+
+def _merges(piece: str, rank: dict[str, int], own: int) -> bool:
+    """Whether the piece's text is merged to the piece, with a rank worse than its own on the way."""
+    ends, worst = _merged_ends(piece, rank)
+    return ends[0] == len(piece) and worst > own
 
 
 def encode(docs: DataFrame, model: Pieces | str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
