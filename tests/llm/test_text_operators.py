@@ -117,6 +117,19 @@ def test_bitmaps_never_drop_a_link():
             assert jaccard_join._close(len(a), len(b), int.from_bytes(sa, "little"), len(sa) * 8, int.from_bytes(sb, "little"), len(sb) * 8, 80)
 
 
+def test_rounds_of_components_have_short_plans(spark, monkeypatch):
+    cut, joins = components.cut, []
+
+    def seen(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(components, "cut", seen)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert 0 < max(joins) <= 3  # those of one join with hot keys
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 102), (7, 7), (None, 3), (100, 101)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

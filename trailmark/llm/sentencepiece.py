@@ -43,7 +43,7 @@ from . import _chunks as C
 
 MARK = "▁"
 #: Text bytes of a chunk: few enough for a worker, enough that most units repeat.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Most pieces that are broadcast (with at most 64 characters each, 32 MB); larger tables are joined by shuffle.
 BROADCAST_PIECES = 250_000
 #: Units up to this many characters are folded; their boundaries fit the bits of one long.
@@ -141,16 +141,17 @@ class Units:
         self.ends = np.append(self.starts[1:], len(k))[: len(self.starts)]
         self.first = np.searchsorted(self.starts, self.offs)
         self.unknown = k[self.starts] == 0
+        del begin, k
         h, other = C.range_hashes(self.x.view(np.uint8), 4 * self.starts, 4 * self.ends, 2)
         order, run = C.sorted_runs(h, other)
         index = order[run]
         # distinct units by bucket, then by their first characters, so that their texts compress
         bucket = (h[index] >> np.uint64(64 - bits)).astype(np.int64)
-        x = np.append(self.x, np.zeros(4, np.uint32)).astype(np.uint64)
         size = (self.ends - self.starts)[index]
         head = np.zeros(len(index), np.uint64)
-        for k in range(4):
-            head = head << np.uint64(16) | np.where(size > k, x[self.starts[index] + k] & np.uint64(0xFFFF), 0).astype(np.uint64)
+        for i in range(4):
+            at = np.minimum(self.starts[index] + i, max(0, len(self.x) - 1))
+            head = head << np.uint64(16) | np.where(size > i, self.x[at] & np.uint32(0xFFFF), 0).astype(np.uint64)
         by = np.lexsort((head, bucket))
         self.index, place = index[by], np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
