@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.config import RetrievalConfig
 from trailmark.operators import retrieval as rt
@@ -72,3 +73,22 @@ def test_no_cases_no_queries(spark):
     cases, queries = made(30, 3)
     for c, q in (([], queries), (cases, []), ([], [])):
         assert rt.retrieve(spark.createDataFrame(q, QUERY), spark.createDataFrame(c, CASE), CFG).count() == 0
+
+
+@pytest.mark.parametrize("routing", ["none", "union"])
+@pytest.mark.parametrize("preselect", [False, True])
+def test_bars_raised_by_a_part_lose_nothing(spark, monkeypatch, routing, preselect):
+    """Many small cells and a first visit for every query: the results of all pairs, and fewer rows handed on."""
+    monkeypatch.setattr(rt, "_COLUMNS", 16)
+    monkeypatch.setattr(rt, "BLOCK", 16)
+    monkeypatch.setattr(rt, "SAMPLE", 64)
+    cases, queries = made(1500, 80)
+    frames = spark.createDataFrame(queries, QUERY), spark.createDataFrame(cases, CASE)
+    handed = {}
+    for few in (0, 10**9):
+        monkeypatch.setattr(rt, "FEW", few)
+        found = rt._search(frames[0].withColumn("_groups", F.col("prototypes").cast("array<bigint>")), frames[1], 1500, CFG, CFG.top_k_cases * (3 if preselect else 1), preselect, routed=routing != "none")
+        handed[few] = found.count()
+        rows = rt.retrieve(*frames, CFG, routing, preselect).orderBy("query", "rank").collect()
+        assert [tuple(r)[:4] for r in rows] == [r[:4] for r in plain(cases, queries, routing, preselect)]
+    assert handed[0] < handed[10**9]

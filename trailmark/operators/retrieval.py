@@ -81,6 +81,8 @@ def index_of(states: DataFrame, encoder: StateEncoder, keep: tuple[str, ...] = (
 BLOCK, BAND, SAMPLE, MOST = 1 << 21, 65_536, 8192, 1024
 #: Queries and cases that are compared at once.
 _ROWS, _COLUMNS = 256, 4096
+#: Where queries would visit more cells than FEW, a part of the cases (one in PART) of HOMES cells raises their bars first.
+FEW, PART, HOMES = 4, 4, 3
 #: Scores that agree to so many places are tied, so that rounding decides nothing.
 PLACES = 9
 
@@ -134,7 +136,7 @@ class _Cells:
     sessions: np.ndarray
     groups: np.ndarray
     centres: np.ndarray | None = None
-    figures: np.ndarray | None = None  # key, rows, box, farthest from the centre, least and largest of each number
+    figures: np.ndarray | None = None  # key, rows, box, farthest from the centre, widest angle to it, longest, least and largest of each number
     of_group: np.ndarray | None = None
 
     def features(self, v: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -154,25 +156,57 @@ class _Cells:
     def middle(self, cell: np.ndarray) -> np.ndarray:
         return self.centres[cell][:, : self.vectors.shape[1]]
 
+    def towards(self, cell: np.ndarray) -> np.ndarray:
+        """Directions of the centres."""
+        m = self.middle(cell)
+        return m / np.maximum(np.sqrt((m**2).sum(axis=-1, keepdims=True)), 1e-300)
+
     def wholes(self, cosine: np.ndarray, spatial: np.ndarray) -> np.ndarray:
         return cosine if self.by_cosine else self.cfg.alpha * spatial + (1 - self.cfg.alpha) * cosine
 
-    def wanted(self, v: np.ndarray, at: np.ndarray, sessions: np.ndarray, groups: list | None) -> tuple[np.ndarray, np.ndarray]:
-        """(a score that the last of the best reaches or passes, the cells that can hold one of the best) of each query."""
-        f, tau = self.figures, self.cfg.tau_m
+    def bounds(self, v: np.ndarray, at: np.ndarray, groups: list | None) -> np.ndarray:
+        """No less than what a case of each cell scores: ball, cap and box of its vectors, box of its positions."""
+        f = self.figures
         d = v.shape[1]
+        cell, length = f[:, 0].astype(np.int64) % len(self.centres), np.sqrt((v**2).sum(axis=1))[:, None]
+        ball = v @ self.middle(cell).T + length * f[:, 6]
+        away = np.arccos(np.clip(v @ self.towards(cell).T / np.maximum(length, 1e-300), -1, 1)) - f[:, 7]
+        cap = length * f[:, 8] * np.maximum(np.cos(np.maximum(away, 0)), 0) + 1e-9
+        box = np.maximum(v, 0) @ f[:, 9 + d :].T + np.minimum(v, 0) @ f[:, 9 : 9 + d].T
+        most = self.wholes(np.minimum(np.minimum(ball, cap), box), np.zeros((1, 1)) if self.by_cosine else _nearest_in(at, f[:, 2:6], self.cfg.tau_m))
+        if groups is not None:
+            most[~np.array([np.isin(self.of_group, _numbers(g)) for g in groups]).reshape(most.shape)] = -np.inf
+        return most
+
+    def reached(self, v: np.ndarray, at: np.ndarray, sessions: np.ndarray, groups: list | None) -> np.ndarray:
+        """A score that the last of the best of each query reaches or passes, as the sample shows."""
         own, which = np.unique(self.at, axis=0, return_inverse=True)
-        reached = self.wholes(v @ self.vectors.T, np.zeros((1, 1)) if self.by_cosine else _near(at, own, tau)[:, which.ravel()])
+        reached = self.wholes(v @ self.vectors.T, np.zeros((1, 1)) if self.by_cosine else _near(at, own, self.cfg.tau_m)[:, which.ravel()])
         reached[sessions[:, None] == self.sessions[None, :]] = -np.inf
-        ball = v @ self.middle(f[:, 0].astype(np.int64) % len(self.centres)).T + np.sqrt((v**2).sum(axis=1))[:, None] * f[:, 6]
-        box = np.maximum(v, 0) @ f[:, 7 + d :].T + np.minimum(v, 0) @ f[:, 7 : 7 + d].T
-        most = self.wholes(np.minimum(ball, box), np.zeros((1, 1)) if self.by_cosine else _nearest_in(at, f[:, 2:6], tau))
         if groups is not None:
-            mine = [np.array(g if g is not None else [], np.float64) for g in groups]
-            reached[~np.array([np.isin(self.groups, g) for g in mine]).reshape(reached.shape)] = -np.inf
-            most[~np.array([np.isin(self.of_group, g) for g in mine]).reshape(most.shape)] = -np.inf
-        bar = np.partition(reached, -self.keep, axis=1)[:, -self.keep] if reached.shape[1] >= self.keep else np.full(len(v), -np.inf)
-        return bar, (most >= bar[:, None] - 1e-8) & (most > -np.inf)
+            reached[~np.array([np.isin(self.groups, _numbers(g)) for g in groups]).reshape(reached.shape)] = -np.inf
+        return np.partition(reached, -self.keep, axis=1)[:, -self.keep] if reached.shape[1] >= self.keep else np.full(len(v), -np.inf)
+
+    def wanted(self, v: np.ndarray, at: np.ndarray, sessions: np.ndarray, groups: list | None, bar: np.ndarray | None = None, home: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(a score that the last of the best reaches or passes, the cells that can hold one of the best) of each query;
+        the score by the sample where none is given, and with ``home`` a few of the cells."""
+        bar = self.reached(v, at, sessions, groups) if bar is None else bar
+        most = self.bounds(v, at, groups)
+        found = (most >= bar[:, None] - 1e-8) & (most > -np.inf)
+        return bar, found & self.home(v, most) if home else found
+
+    def home(self, v: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The cells that most likely hold the best: those with the nearest centres, or by the bounds."""
+        if self.by_cosine:
+            near = v @ self.middle(self.figures[:, 0].astype(np.int64) % len(self.centres)).T
+            most = np.where(most > -np.inf, near, -np.inf)
+        out = np.zeros(most.shape, bool)
+        np.put_along_axis(out, np.argsort(-most, axis=1, kind="stable")[:, :HOMES], True, axis=1)
+        return out & (most > -np.inf)
+
+
+def _numbers(group) -> np.ndarray:
+    return np.array(group if group is not None else [], np.float64)
 
 
 def _of(batch, side: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +230,9 @@ def _drawn(cases: DataFrame, n: int, cfg: RetrievalConfig, keep: int, by_cosine:
         at = np.flatnonzero(np.r_[True, np.diff(x[:, 0]) > 0])
         out = x[at]
         out[:, 1] = np.add.reduceat(x[:, 1], at)
-        least = [2, 4, *range(7, 7 + d)]
+        least = [2, 4, *range(9, 9 + d)]
         out[:, least] = np.fmin.reduceat(x[:, least], at, axis=0)
-        most = [3, 5, 6, *range(7 + d, 7 + 2 * d)]
+        most = [3, 5, 6, 7, 8, *range(9 + d, 9 + 2 * d)]
         out[:, most] = np.fmax.reduceat(x[:, most], at, axis=0)
         return out
 
@@ -211,7 +245,9 @@ def _drawn(cases: DataFrame, n: int, cfg: RetrievalConfig, keep: int, by_cosine:
             cell = model.value.cell(v, at)
             far = np.sqrt(((v - model.value.middle(cell)) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-12
             key = batch.column("group").to_numpy() * len(model.value.centres) + cell
-            tables = [added([*tables, np.column_stack((key, np.ones(len(v)), at[:, [0, 0, 1, 1]], far, v, v))])]
+            long = np.sqrt((v**2).sum(axis=1)) * (1 + 1e-9)
+            wide = np.arccos(np.clip((v * model.value.towards(cell)).sum(axis=1) / np.maximum(long, 1e-300), -1, 1)) + 1e-7
+            tables = [added([*tables, np.column_stack((key, np.ones(len(v)), at[:, [0, 0, 1, 1]], far, wide, long, v, v))])]
         if tables:
             yield pa.RecordBatch.from_pydict({"key": tables[0][:, 0].astype(np.int64), "figures": pa.array(tables[0].tolist(), pa.list_(pa.float64()))})
 
@@ -219,7 +255,7 @@ def _drawn(cases: DataFrame, n: int, cfg: RetrievalConfig, keep: int, by_cosine:
         return pa.table({"figures": pa.array(added([np.array(table["figures"].to_pylist())]).tolist(), pa.list_(pa.float64()))})
 
     found = cases.mapInArrow(seen, "key long, figures array<double>").groupBy("key").applyInArrow(merged, "figures array<double>").toArrow()
-    cells.figures = _matrix(found["figures"]) if found.num_rows else np.zeros((0, 7 + 2 * d))
+    cells.figures = _matrix(found["figures"]) if found.num_rows else np.zeros((0, 9 + 2 * d))
     cells.figures = cells.figures[np.argsort(cells.figures[:, 0])]
     cells.of_group = np.floor_divide(cells.figures[:, 0], len(cells.centres))
     return cells
@@ -236,25 +272,48 @@ def _search(queries: DataFrame, cases: DataFrame, n: int, cfg: RetrievalConfig,
     cells = _drawn(cases, n, cfg, keep, by_cosine)
     model = spark.sparkContext.broadcast(cells)
 
-    def visits(batches):
-        for batch in batches:
-            v, at = _of(batch, "q_")
-            bars, keys = [], []
-            for lo in range(0, len(v), _ROWS):
-                some = slice(lo, lo + _ROWS)
-                groups = batch.column("_groups").slice(lo, _ROWS).to_pylist() if routed else None
-                if not len(model.value.figures):
-                    bar, open_ = np.full(len(v[some]), -np.inf), np.zeros((len(v[some]), 0), bool)
-                else:
-                    bar, open_ = model.value.wanted(v[some], at[some], batch.column("q_session").to_numpy()[some], groups)
-                bars += bar.tolist()
-                keys += [model.value.figures[row, 0].astype(np.int64).tolist() for row in open_]
-            kept = [c for c in batch.schema.names if c != "_groups"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bars, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], [*kept, "bar", "keys"])
+    def visits(home: bool):
+        def of(batches):
+            for batch in batches:
+                v, at = _of(batch, "q_")
+                bars, keys = [], []
+                for lo in range(0, len(v), _ROWS):
+                    some = slice(lo, lo + _ROWS)
+                    groups = batch.column("_groups").slice(lo, _ROWS).to_pylist() if routed else None
+                    if not len(model.value.figures):
+                        bar, open_ = np.full(len(v[some]), -np.inf), np.zeros((len(v[some]), 0), bool)
+                    else:
+                        known = batch.column("bar").to_numpy()[some] if "bar" in batch.schema.names else None
+                        bar, open_ = model.value.wanted(v[some], at[some], batch.column("q_session").to_numpy()[some], groups, known, home)
+                    bars += bar.tolist()
+                    keys += [model.value.figures[row, 0].astype(np.int64).tolist() for row in open_]
+                kept = [c for c in batch.schema.names if c not in ("bar", "keys")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bars, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], [*kept, "bar", "keys"])
+
+        return of
 
     asked = queries.select("query", F.col("SessionId").alias("q_session"), F.col("vector").alias("q_vector"), F.col("curr_lat").alias("q_lat"), F.col("curr_lon").alias("q_lon"), *(["_groups"] if routed else []))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields if f.name != "_groups")
-    asked = held(asked.mapInArrow(visits, f"{fields}, bar double, keys array<bigint>"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields) + ", bar double, keys array<bigint>"
+    asked = held(asked.mapInArrow(visits(False), fields))
+    n_queries, n_visits = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    if n_visits > FEW * n_queries:
+        some = cases.filter(F.pmod(F.xxhash64("SessionId", "decision_index", F.lit(11)), F.lit(PART)) == 0)
+        near = _visited(asked.mapInArrow(visits(True), fields), some, cells, model, kinds, ddl)
+        w = Window.partitionBy("query").orderBy(F.desc("_score"))
+        last = near.select("query", F.col("cosine_score" if by_cosine else "retrieval_score").alias("_score")).withColumn("_r", F.row_number().over(w))
+        last = last.filter(F.col("_r") == keep).select("query", (F.col("_score") - 1e-8).alias("_bar"))
+        wide = asked
+        raised = asked.join(last, "query", "left").withColumn("bar", F.greatest("bar", "_bar")).drop("_bar").select(*asked.columns)
+        asked = held(raised.mapInArrow(visits(False), fields))
+        asked.count()
+        wide.unpersist()
+    return _visited(asked, cases, cells, model, kinds, ddl)
+
+
+def _visited(asked: DataFrame, cases: DataFrame, cells: _Cells, model, kinds: dict, ddl: str) -> DataFrame:
+    """The best of the cells that queries visit: asked has their keys, model the cells as a broadcast."""
+    spark, cfg, keep, by_cosine = cases.sparkSession, cells.cfg, cells.keep, cells.by_cosine
+    asked = asked.drop("_groups")
     asking = dict(asked.select(F.explode("keys").alias("k")).groupBy("k").count().collect())  # a row a cell at most
 
     rows = max(_COLUMNS, BLOCK // max(1, cells.vectors.shape[1]))
