@@ -24,3 +24,18 @@ def test_all_mixtures_share_their_passes(spark, monkeypatch):
     assert q == pytest.approx(np.einsum("nk,ni,nj->kij", r, x, x) if best.covariance_type == "full" else r.T @ x**2)
     monkeypatch.setattr(pt, "_DIRECT", 0)
     assert expect(rows, [best])[0][4] == pytest.approx(q)
+
+
+def test_a_mixture_is_factored_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(3, 20, 20))
+    m = pt.Mixture(np.full(3, 1 / 3), rng.normal(size=(3, 20)), a @ a.transpose(0, 2, 1) + np.eye(20), "full")
+    x, inverted, inv = rng.normal(size=(50, 20)), [], np.linalg.inv
+    monkeypatch.setattr(np.linalg, "inv", lambda c: inverted.append(1) or inv(c))
+    found = [m.log_probabilities(x[lo : lo + 10]) for lo in range(0, 50, 10)]
+    assert len(inverted) == 1
+    for k in range(3):
+        y = x - m.means[k]
+        square = np.einsum("ni,ij,nj->n", y, inv(m.covariances[k]), y)
+        want = -0.5 * (20 * np.log(2 * np.pi) + np.linalg.slogdet(m.covariances[k])[1] + square) + np.log(1 / 3)
+        assert np.concatenate(found)[:, k] == pytest.approx(want)

@@ -7,6 +7,7 @@ statistics per task, so the driver gets numbers of fixed size whatever the numbe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,12 @@ class Mixture:
     n_iter: int = 0
     log_likelihoods: tuple = ()
 
+    @cached_property
+    def _factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of full covariances: what whitens rows, and the log determinants."""
+        low = np.linalg.cholesky(self.covariances)
+        return np.linalg.inv(low).transpose(0, 2, 1), 2 * np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1)
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         d = x.shape[1]
         if self.covariance_type == "diag":
@@ -38,11 +45,14 @@ class Mixture:
             square = (x**2) @ p.T - 2 * x @ (self.means * p).T + (self.means**2 * p).sum(axis=1)
             logdet = np.log(self.covariances).sum(axis=1)
         else:
-            square, logdet = np.empty((len(x), len(self.weights))), np.empty(len(self.weights))
-            for k, (m, c) in enumerate(zip(self.means, self.covariances, strict=True)):
-                low = np.linalg.cholesky(c)
-                y = (x - m) @ np.linalg.inv(low).T
-                square[:, k], logdet[k] = np.einsum("ij,ij->i", y, y), 2 * np.log(np.diag(low)).sum()
+            square = np.empty((len(x), len(self.weights)))
+            whitening, logdet = self._factors
+            for k, (m, w) in enumerate(zip(self.means, whitening, strict=True)):
+                y = x - m
+                square[:, k] = 0
+                for lo in range(0, d, _STRIP):  # w is upper triangular
+                    z = y[:, : lo + _STRIP] @ w[: lo + _STRIP, lo : lo + _STRIP]
+                    square[:, k] += np.einsum("ij,ij->i", z, z)
         return -0.5 * (d * np.log(2 * np.pi) + logdet + square) + np.log(self.weights)
 
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +78,8 @@ def _matrix(column) -> np.ndarray:
 
 #: Rows that the E-step looks at once; bytes of sums that the driver takes from the tasks directly.
 _ROWS, _DIRECT = 1024, 64 << 20
+#: Columns of a triangular factor that are multiplied at once.
+_STRIP = 16
 
 
 def _expect(rows: DataFrame, mixtures: list[Mixture]) -> list[tuple]:
@@ -127,8 +139,8 @@ def _sums(m: Mixture, x: np.ndarray) -> np.ndarray:
         for k, w in enumerate(r.T):
             own = np.flatnonzero(w > 1e-40)  # others add nothing that a double holds
             if len(own):
-                y = x[own]
-                square[k] = ((y * w[own, None]).T @ y)[upper]
+                y = x[own] * np.sqrt(w[own, None])
+                square[k] = (y.T @ y)[upper]  # of one matrix, so half is computed
     else:
         square = r.T @ x**2
     return np.concatenate(([len(x), total.sum()], r.sum(axis=0), (r.T @ x).ravel(), square.ravel()))
